@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, warc
+from . import bpe, media, packing, toxicity, urlfilter, warc
 from .common import Scratch, documents
 
 
@@ -20,6 +20,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, documents(spark, sf_dir, "labels")))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = Scratch(spark, "warc")
     warc.write_archive(documents(spark, sf_dir, "pages"), held)
@@ -34,11 +39,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path(), 1024, 2)
 
 
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return urlfilter.judge(documents(spark, sf_dir, "pages"), rules)
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(documents(spark, sf_dir))
 
 
-QUERIES = {"op5_warc": op5_warc, "op6_bpe": op6_bpe, "op7_packing": op7_packing, "op9_media": op9_media}
+QUERIES = {"op4_toxicity": op4_toxicity, "op5_warc": op5_warc, "op6_bpe": op6_bpe, "op7_packing": op7_packing, "op8_url_filter": op8_url_filter, "op9_media": op9_media}
 
 ORACLE_SQL = {
     "op5_warc": """
@@ -48,4 +61,13 @@ ORACLE_SQL = {
                CASE WHEN n < 1000 OR page_id IS NOT DISTINCT FROM keeper THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN n < 1000 OR page_id IS NOT DISTINCT FROM keeper THEN NULL ELSE keeper END AS refers_to
         FROM f""",
+    "op8_url_filter": """
+        WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+        r(rh, rp, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+        m AS (SELECT b.page_id, b.host, b.path, rh || rp AS rule, v,
+                     row_number() OVER (PARTITION BY b.page_id ORDER BY length(rh || rp) DESC NULLS LAST) AS k
+              FROM b LEFT JOIN r ON (b.host = rh OR ends_with(b.host, '.' || rh)) AND starts_with(b.path, rp))
+        SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1""",
 }
