@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, toxicity, urlfilter, vectors, warc
+from . import bpe, media, minhash, packing, toxicity, urlfilter, vectors, warc
 from .common import Scratch, documents
 
 
@@ -20,6 +20,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), 80)
+
+
 def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(documents(spark, sf_dir, "embeddings"), 0.9)
 
@@ -55,7 +59,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(documents(spark, sf_dir))
 
 
-QUERIES = {"op2_embeddings": op2_embeddings, "op4_toxicity": op4_toxicity, "op5_warc": op5_warc, "op6_bpe": op6_bpe, "op7_packing": op7_packing, "op8_url_filter": op8_url_filter, "op9_media": op9_media}
+QUERIES = {"op1_minhash": op1_minhash, "op2_embeddings": op2_embeddings, "op4_toxicity": op4_toxicity, "op5_warc": op5_warc, "op6_bpe": op6_bpe, "op7_packing": op7_packing, "op8_url_filter": op8_url_filter, "op9_media": op9_media}
 
 ORACLE_SQL = {
     "op5_warc": """
