@@ -10,6 +10,7 @@ gives the same merges without the quadratic scan.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import struct
@@ -160,32 +161,41 @@ class Codec:
 
     def words(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words, each a match of the pattern."""
-        by: dict[int, list[str]] = {}
-        raw = {w: w.encode("utf-8", "replace") for w in words}
-        for w, r in raw.items():
-            by.setdefault(len(r), []).append(w)
+        named = list(words)
+        raw = [w.encode("utf-8", "replace") for w in named]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        order = np.argsort(sizes, kind="stable")
+        cuts = np.flatnonzero(np.diff(sizes[order])) + 1
         out: dict[str, bytes] = {}
-        for n, same in by.items():
-            for i in range(0, len(same), 20_000):
-                part = same[i : i + 20_000]
-                own = [raw[w] for w in part]
-                out.update(zip(part, self._rows(own) if n <= SHORT else map(self._long, own)))
+        for same in np.split(order, cuts):
+            for at in range(0, same.size, 8_000):
+                part = same[at : at + 8_000].tolist()
+                own = [raw[i] for i in part]
+                out.update(zip([named[i] for i in part], self._rows(own) if len(own[0]) <= SHORT else map(self._long, own)))
         return out
 
-    def split(self, chunk: str) -> list[str]:
-        """The pattern's words of a chunk; the two commonest shapes need no regular expression."""
-        bare = chunk[1:] if chunk[:1] == " " else chunk
-        if bare.isalpha():
-            return [chunk]
-        if bare[-1:] in (".", ",") and bare[:-1].isalpha():
-            return [chunk[:-1], chunk[-1]]
-        return self.PATTERN.findall(chunk)
-
     def learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks, which are texts that no word crosses."""
-        split = {c: self.split(c) for c in chunks}
-        ids = self.words({w for ws in split.values() for w in ws})
-        return {c: ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for c, ws in split.items()}
+        """Ids of chunks, which are texts that no word crosses. Letters alone, or letters and
+        one stop or comma, are the commonest shapes and need no regular expression."""
+        words: set[str] = set()
+        tailed, mixed = [], {}
+        for c in chunks:
+            bare = c[1:] if c[:1] == " " else c
+            if bare.isalpha():
+                words.add(c)
+            elif bare[-1:] in (".", ",") and bare[:-1].isalpha():
+                tailed.append(c)
+                words.add(c[:-1])
+            else:
+                mixed[c] = own = self.PATTERN.findall(c)
+                words.update(own)
+        out = self.words(words)
+        if tailed:
+            ends = {x: self.byte_id[ord(x)].astype("<u4").tobytes() for x in ".,"}
+            out.update([(c, out[c[:-1]] + ends[c[-1]]) for c in tailed])
+        for c, own in mixed.items():
+            out[c] = b"".join([out[w] for w in own])
+        return out
 
     def _general(self, texts: list[str]) -> list[bytes]:
         """Texts with runs of white space: they are cut only at a blank between two other characters."""
@@ -203,8 +213,9 @@ class Codec:
         parts = [list(map(get, own)) for own in lists]
         holes = [[i for i, x in enumerate(p) if x is None] if None in p else [] for p in parts]
         new = {own[i] for own, at in zip(lists, holes) for i in at}
-        safe = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
-        self.known.update((c[1:], ids) for c, ids in self.learn({" " + c for c in safe}).items())
+        new = [" " + c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
+        ids = self.learn(new)
+        self.known.update([(c[1:], ids[c]) for c in new])
         heads = self.learn({own[0] for own in lists})
         out, rest = [], []
         for k, (own, p, at) in enumerate(zip(lists, parts, holes)):
@@ -222,6 +233,15 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, as little-endian unsigned 32-bit integers."""
+        collects = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and collections would walk the lists of parts
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         found = [self.special.search(t) is not None if self.special and ("<" in t or self.odd) else False for t in texts]
         if not any(found):
             return self._plain(texts)

@@ -161,7 +161,8 @@ def pack(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> Dat
     key = table[:, 0] << 40 | table[:, 1]
     spread = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = by_part.withColumn("before", F.coalesce(F.sum("n").over(spread), F.lit(0))).drop("n")
-    ranked = cut_up.join(first, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
+    # The counts grow with the partitions, so they are merged, not broadcast.
+    ranked = cut_up.join(first.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
     shared = spark.sparkContext.broadcast((table, key))
 
     def place(batches):
