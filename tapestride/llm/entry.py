@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, minhash, packing, toxicity, urlfilter, vectors, warc
+from . import bpe, lines, media, minhash, packing, toxicity, urlfilter, vectors, warc
 from .common import Scratch, documents
 
 
@@ -47,6 +47,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path(), 1024, 2)
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(documents(spark, sf_dir))
+
+
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
@@ -59,7 +63,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_embeddings": op2_embeddings, "op4_toxicity": op4_toxicity, "op5_warc": op5_warc, "op6_bpe": op6_bpe, "op7_packing": op7_packing, "op8_url_filter": op8_url_filter, "op9_media": op9_media}
+QUERIES = {"op1_minhash": op1_minhash, "op2_embeddings": op2_embeddings, "op4_toxicity": op4_toxicity, "op5_warc": op5_warc, "op6_bpe": op6_bpe, "op7_packing": op7_packing, "op8_url_filter": op8_url_filter, "op9_media": op9_media, "op10_lines": op10_lines}
 
 ORACLE_SQL = {
     "op5_warc": """
