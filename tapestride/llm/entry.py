@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, media, minhash, packing, toxicity, urlfilter, vectors, warc
+from . import bpe, lines, media, minhash, packing, suffixes, toxicity, urlfilter, vectors, warc
 from .common import Scratch, documents
 
 
@@ -28,6 +28,10 @@ def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(documents(spark, sf_dir, "embeddings"), 0.9)
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(documents(spark, sf_dir))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.train(docs, documents(spark, sf_dir, "labels")))
@@ -63,7 +67,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_embeddings": op2_embeddings, "op4_toxicity": op4_toxicity, "op5_warc": op5_warc, "op6_bpe": op6_bpe, "op7_packing": op7_packing, "op8_url_filter": op8_url_filter, "op9_media": op9_media, "op10_lines": op10_lines}
+QUERIES = {"op1_minhash": op1_minhash, "op2_embeddings": op2_embeddings, "op3_suffixes": op3_suffixes, "op4_toxicity": op4_toxicity, "op5_warc": op5_warc, "op6_bpe": op6_bpe, "op7_packing": op7_packing, "op8_url_filter": op8_url_filter, "op9_media": op9_media, "op10_lines": op10_lines}
 
 ORACLE_SQL = {
     "op5_warc": """
