@@ -1,4 +1,614 @@
 """Queries over the driver's tables, one for each operator, with the SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import stem
+from ..functions import text as tx
+from ..operators import evaluate, features, graph, langmodel, links, matcher, ml
+from ..sources.tables import table
+
 QUERIES = {}
 ORACLE_SQL = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 9) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Materialises a small step of an iteration in the shared checkpoint folder."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            import tempfile
+
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="tapestride-")
+        sc.setCheckpointDir(named)
+    return df.checkpoint()
+
+
+# --- links -----------------------------------------------------------------------------------
+
+_ANCHORS = """
+    found AS (SELECT page_id AS source, regexp_extract_all(coalesce(html, ''), '<a href="[^"]*">[^<]*</a>') AS a FROM pages),
+    rows_ AS (SELECT source, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS x FROM found),
+    anchors AS (SELECT source, pos::BIGINT AS pos, regexp_extract(x, '<a href="([^"]*)">([^<]*)</a>', 2) AS surface,
+                       regexp_replace(regexp_extract(x, '<a href="([^"]*)">([^<]*)</a>', 1), '^/', '') AS destination FROM rows_),
+    norm AS (SELECT *, lower(regexp_replace(surface, '[^\\p{L}]+', '', 'g')) AS whole FROM anchors),
+    l AS (SELECT source, pos, surface, destination, left(whole, 2) AS surface_repr FROM norm WHERE whole <> ''),
+    dest AS (SELECT DISTINCT destination FROM l),
+    moved AS (SELECT destination AS f, lower(regexp_replace(destination, '[^\\p{L}]+', '', 'g')) AS t FROM dest),
+    redirects AS (SELECT f, t FROM moved WHERE f <> t AND t IN (SELECT destination FROM dest))"""
+
+
+def _links(spark: SparkSession, sf: str) -> DataFrame:
+    found = links.anchors(table(spark, sf, "pages"))
+    return found.withColumn("whole", tx.normalised(F.col("surface"))).where("whole <> ''").withColumn("surface_repr", F.substring("whole", 1, 2)).drop("whole")
+
+
+def _redirects(spark: SparkSession, sf: str) -> DataFrame:
+    return links.redirects_of(_links(spark, sf))
+
+
+def _surface_probs(spark: SparkSession, sf: str) -> DataFrame:
+    counts = links.pair_counts(_links(spark, sf), "surface_repr", "destination")
+    probs = links.conditional(links.resolve(counts, _redirects(spark, sf), "destination"), "surface_repr", "destination")
+    return probs.withColumnRenamed("surface_repr", "surface")
+
+
+@query(f"WITH {_ANCHORS} SELECT source, pos, surface, destination, surface_repr, 'L-' || source || '-' || lpad(pos::VARCHAR, 8, '0') || '-' || surface AS id FROM l")
+def page_links(spark, sf):
+    return links.with_ids(_links(spark, sf)).select("source", "pos", "surface", "destination", "surface_repr", "id")
+
+
+@query(
+    f"""WITH {_ANCHORS} SELECT source, pos, surface, CASE WHEN starts_with(destination, 'ß') THEN destination ELSE upper(left(destination, 1)) || substr(destination, 2) END AS destination FROM anchors
+    WHERE regexp_matches(surface, '[\\p{{L}}\\p{{N}}]') AND NOT starts_with(destination, 'http://')"""
+)
+def link_cleaning(spark, sf):
+    return tx.clean_links(links.anchors(table(spark, sf, "pages"))).select("source", "pos", "surface", "destination")
+
+
+_HEADED = r"regexp_extract(html, '<h1>([^<]*)</h1>', 1)"
+
+
+@query(
+    f"""SELECT page_id, is_disambiguation, is_list, is_redirect, CASE WHEN is_disambiguation OR is_list OR is_redirect THEN 'special' ELSE 'normal' END AS status FROM (
+    SELECT page_id, contains({_HEADED}, '(disambiguation)') OR regexp_matches(lower(html), '\\{{\\{{disambiguation') AS is_disambiguation,
+           starts_with({_HEADED}, 'List of') OR starts_with({_HEADED}, 'Lists of') AS is_list, contains(url, '?') AS is_redirect FROM pages)"""
+)
+def page_status(spark, sf):
+    title = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
+    pages = table(spark, sf, "pages").select("page_id", title.alias("title"), F.when(F.contains("url", F.lit("?")), F.col("url")).alias("redirect"), F.col("html").alias("source"))
+    return links.status(pages).select("page_id", "is_disambiguation", "is_list", "is_redirect", "status")
+
+
+@query("SELECT o_orderkey, abs(o_orderkey * 31 + 7) % 100 AS bucket, CASE WHEN abs(o_orderkey * 31 + 7) % 100 < 10 THEN 'train' WHEN abs(o_orderkey * 31 + 7) % 100 < 20 THEN 'test' END AS split FROM orders")
+def hash_sample(spark, sf):
+    b = F.abs(F.col("o_orderkey") * 31 + 7) % 100
+    return table(spark, sf, "orders").select("o_orderkey", b.alias("bucket"), F.when(b < 10, "train").when(b < 20, "test").alias("split"))
+
+
+@query()
+def title_hash_sample(spark, sf):
+    pages = table(spark, sf, "pages").select(F.col("url").alias("title"))
+    return pages.where(tx.in_bucket(F.col("title"), 10, 0)).select("title", tx.string_hash(F.col("title")).alias("hash"))
+
+
+@query(f"WITH {_ANCHORS} SELECT surface_repr, min(surface) AS surface, count(DISTINCT source) AS n_docs FROM l GROUP BY 1")
+def surface_document_counts(spark, sf):
+    return links.surface_document_counts(_links(spark, sf))
+
+
+@query(f"WITH {_ANCHORS} SELECT surface_repr, destination, count(*) AS cnt FROM l GROUP BY 1, 2")
+def surface_destination_counts(spark, sf):
+    return links.pair_counts(_links(spark, sf), "surface_repr", "destination")
+
+
+@query(f"WITH {_ANCHORS} SELECT source, destination, count(*) AS cnt FROM l GROUP BY 1, 2")
+def context_link_counts(spark, sf):
+    return links.pair_counts(_links(spark, sf), "source", "destination")
+
+
+@query(f'WITH {_ANCHORS} SELECT f AS "from", t AS "to" FROM redirects')
+def redirects(spark, sf):
+    return _redirects(spark, sf)
+
+
+def _hops(target: str, table_: str) -> str:
+    return f"""r1 AS (SELECT c.*, coalesce(t, {target}) AS d1 FROM {table_} c LEFT JOIN redirects ON f = {target}),
+    r2 AS (SELECT r1.*, coalesce(t, d1) AS d2 FROM r1 LEFT JOIN redirects ON f = d1), r3 AS (SELECT r2.*, coalesce(t, d2) AS d3 FROM r2 LEFT JOIN redirects ON f = d2)"""
+
+
+@query(
+    f"""WITH redirects AS (SELECT o_orderkey AS f, o_orderkey // 2 AS t FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey > 0),
+    c AS (SELECT o_orderkey, o_orderkey AS target FROM orders), {_hops("target", "c")} SELECT o_orderkey, d3 AS target FROM r3"""
+)
+def resolve_redirects_3(spark, sf):
+    keys = table(spark, sf, "orders").select("o_orderkey")
+    chain = keys.where("o_orderkey % 2 = 0 and o_orderkey > 0").select(F.col("o_orderkey").alias("from"), F.expr("o_orderkey div 2").alias("to"))
+    return links.resolve(keys.withColumn("target", F.col("o_orderkey")), chain, "target").select("o_orderkey", "target")
+
+
+_PROBS = f"""{_ANCHORS}, c AS (SELECT surface_repr, destination, count(*) AS cnt FROM l GROUP BY 1, 2), {_hops("destination", "c")},
+    summed AS (SELECT surface_repr AS surface, d3 AS destination, sum(cnt) AS cnt FROM r3 GROUP BY 1, 2),
+    probs AS (SELECT surface, destination, cnt / sum(cnt) OVER (PARTITION BY surface) AS prob FROM summed)"""
+
+
+@query(f"WITH {_PROBS} SELECT surface, destination, round(prob, 9) AS prob FROM probs")
+def surface_probs(spark, sf):
+    return rounded(_surface_probs(spark, sf), "prob")
+
+
+@query(
+    f"""WITH {_ANCHORS}, c AS (SELECT source, destination, count(*) AS cnt FROM l GROUP BY 1, 2), {_hops("destination", "c")},
+    s AS (SELECT source, d3 AS destination, sum(cnt) AS cnt FROM r3 GROUP BY 1, 2)
+    SELECT source, destination, round(cnt / sum(cnt) OVER (PARTITION BY source), 9) AS prob FROM s"""
+)
+def context_link_probs(spark, sf):
+    counts = links.pair_counts(_links(spark, sf), "source", "destination")
+    return rounded(links.conditional(links.resolve(counts, _redirects(spark, sf), "destination"), "source", "destination"), "prob")
+
+
+@query(f"WITH {_PROBS} SELECT surface, destination, round(prob, 9) AS prob FROM probs WHERE prob > 0.05")
+def dictionary_cutoff(spark, sf):
+    return rounded(_surface_probs(spark, sf).where("prob > 0.05"), "prob")
+
+
+# --- words -----------------------------------------------------------------------------------
+
+_WORDS = """words AS (SELECT doc_id AS entity, unnest(regexp_extract_all(lower(coalesce(text, '')), '\\p{L}+')) AS word FROM documents),
+    own AS (SELECT entity, word, count(*) AS cnt FROM words GROUP BY 1, 2),
+    lm AS (SELECT entity, word, cnt, sum(cnt) OVER (PARTITION BY entity)::BIGINT AS words_in_model FROM own)"""
+
+
+def _words(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("entity"), F.explode(tx.tokens(F.col("text"))).alias("word"))
+
+
+@query(f"WITH {_WORDS} SELECT entity, word, cnt, words_in_model FROM lm")
+def language_model(spark, sf):
+    return langmodel.language_model(_words(spark, sf))
+
+
+@query(f"WITH {_WORDS} SELECT word, count(*) AS n_docs FROM own GROUP BY 1")
+def document_word_counts(spark, sf):
+    return langmodel.document_word_counts(_words(spark, sf).groupBy("entity", "word").count())
+
+
+@query(
+    f"""WITH {_ANCHORS}, s AS (SELECT source, array_to_string(list(surface ORDER BY pos), chr(1)) AS link_surfaces FROM l GROUP BY 1)
+    SELECT page_id, array_to_string(regexp_extract_all(lower(regexp_replace(coalesce(html, ''), '<[^<>]*>', ' ', 'g')), '\\p{{L}}+'), ' ') AS plain_text, coalesce(link_surfaces, '') AS link_surfaces
+    FROM pages LEFT JOIN s ON source = page_id"""
+)
+def plain_texts(spark, sf):
+    own = _links(spark, sf).groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "surface"))), lambda x: x.surface), "\1").alias("link_surfaces"))
+    words = tx.tokens(F.regexp_replace(F.coalesce("html", F.lit("")), "<[^<>]*>", " "))
+    pages = table(spark, sf, "pages").select("page_id", F.array_join(words, " ").alias("plain_text"))
+    return pages.join(own, F.col("page_id") == F.col("source"), "left").select("page_id", "plain_text", F.coalesce("link_surfaces", F.lit("")).alias("link_surfaces"))
+
+
+@query()
+def porter_stems(spark, sf):
+    words = _words(spark, sf).select("word").distinct()
+    return words.select("word", stem.stem_word("word").alias("stem"))
+
+
+# --- dictionary ------------------------------------------------------------------------------
+
+LONGEST = 4
+_DICT = f"""bench AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+') AS w FROM benchmark),
+    grams AS (SELECT item_id, n, w[i:i + n - 1] AS g FROM bench, range(1, {LONGEST + 1}) r(n), LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i)),
+    counts AS (SELECT array_to_string(g, ' ') AS surface, item_id, count(*) AS cnt FROM grams GROUP BY 1, 2),
+    entry_probs AS (SELECT surface, item_id, cnt / sum(cnt) OVER (PARTITION BY surface) AS prob FROM counts),
+    dict AS (SELECT surface, max(prob) AS prob FROM entry_probs WHERE len(string_split(surface, ' ')) > 1 GROUP BY 1),
+    toks AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+') AS w FROM documents),
+    spans AS (SELECT doc_id, i - 1 AS start, n AS length, array_to_string(w[i:i + n - 1], ' ') AS surface FROM toks, range(2, {LONGEST + 1}) r(n), LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i)),
+    hits AS (SELECT doc_id, surface, prob, start, length FROM spans JOIN dict USING (surface)),
+    firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, surface ORDER BY start, length) AS k FROM hits) WHERE k = 1)"""
+
+
+def _entry_probs(spark: SparkSession, sf: str) -> DataFrame:
+    """(surface, item_id, prob): runs of one to four words of benchmark passages and the items that hold them."""
+    w = table(spark, sf, "benchmark").select("item_id", tx.tokens(F.col("text")).alias("w"))
+    runs = w.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.lit(LONGEST))).alias("n")).where("size(w) >= n").select("item_id", "n", "w", F.explode(F.expr("sequence(1, size(w) - n + 1)")).alias("i"))
+    grams = runs.select("item_id", F.expr("array_join(slice(w, i, n), ' ')").alias("surface"))
+    return links.conditional(grams.groupBy("surface", "item_id").agg(F.count("*").alias("cnt")), "surface", "item_id")
+
+
+def _dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    return matcher.dictionary(_entry_probs(spark, sf).where("surface like '% %'"))
+
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", tx.tokens(F.col("text")).alias("tokens"))
+
+
+def _hits(spark: SparkSession, sf: str, **how) -> DataFrame:
+    return matcher.hits(_texts(spark, sf), _dictionary(spark, sf), LONGEST, **how)
+
+
+_SHOWN = "doc_id, surface, round(prob, 9) AS prob, start::BIGINT AS start, length::BIGINT AS length"
+
+
+@query(f"WITH {_DICT} SELECT {_SHOWN} FROM firsts")
+def trie_hits(spark, sf):
+    return rounded(_hits(spark, sf), "prob")
+
+
+@query(f"WITH {_DICT} SELECT {_SHOWN} FROM hits")
+def trie_hits_all_occurrences(spark, sf):
+    return rounded(_hits(spark, sf, every=True), "prob")
+
+
+@query(f"WITH {_DICT} SELECT {_SHOWN} FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, start ORDER BY length DESC) AS k FROM hits) WHERE k = 1")
+def trie_longest_match(spark, sf):
+    return rounded(_hits(spark, sf, every=True, longest=True), "prob")
+
+
+@query(
+    f"""WITH {_DICT}, p AS (SELECT DISTINCT array_to_string(string_split(surface, ' ')[1:n], ' ') AS surface, TRUE AS is_prefix FROM dict, range(1, {LONGEST}) r(n) WHERE n < len(string_split(surface, ' '))),
+    probes AS (SELECT DISTINCT surface FROM counts)
+    SELECT probes.surface, dict.prob IS NOT NULL AS is_entry, coalesce(is_prefix, FALSE) AS is_prefix, round(dict.prob, 9) AS prob FROM probes LEFT JOIN dict USING (surface) LEFT JOIN p USING (surface)"""
+)
+def trie_contains(spark, sf):
+    return rounded(matcher.contains(_entry_probs(spark, sf).select("surface").distinct(), _dictionary(spark, sf)), "prob")
+
+
+@query(f"WITH {_DICT}, p AS (SELECT DISTINCT n AS level, array_to_string(string_split(surface, ' ')[1:n], ' ') AS g FROM dict, range(1, {LONGEST + 1}) r(n) WHERE n <= len(string_split(surface, ' '))) SELECT level::BIGINT AS level, count(*) AS n_edges FROM p GROUP BY 1")
+def trie_levels(spark, sf):
+    return matcher.prefix_statistics(_dictionary(spark, sf))
+
+
+@query(f"WITH {_DICT} SELECT surface, count(*) AS n_docs FROM firsts GROUP BY 1")
+def entire_text_surface_counts(spark, sf):
+    return _hits(spark, sf).groupBy("surface").agg(F.count("*").alias("n_docs"))
+
+
+@query(
+    f"""WITH {_DICT}, a AS (SELECT surface, count(DISTINCT item_id) AS n_link_docs FROM counts GROUP BY 1), t AS (SELECT surface, count(*) AS n_text_docs FROM firsts GROUP BY 1)
+    SELECT surface, n_link_docs, n_text_docs, round(n_link_docs / n_text_docs, 9) AS prob FROM a JOIN t USING (surface)"""
+)
+def surface_link_probs(spark, sf):
+    linked = _entry_probs(spark, sf).groupBy("surface").agg(F.countDistinct("item_id").alias("n_link_docs"))
+    text = _hits(spark, sf).groupBy("surface").agg(F.count("*").alias("n_text_docs"))
+    return linked.join(text, "surface").select("surface", "n_link_docs", "n_text_docs", F.round(F.col("n_link_docs") / F.col("n_text_docs"), 9).alias("prob"))
+
+
+# --- features --------------------------------------------------------------------------------
+
+_CTX = "CASE WHEN len(w) >= 51 THEN array_to_string(w[least(greatest(start - 25, 0), len(w) - 51) + 1:least(greatest(start - 25, 0), len(w) - 51) + 51], ' ') END"
+_FEATURES = f"""{_DICT}, placed AS (SELECT f.*, w FROM firsts f JOIN toks USING (doc_id)),
+    ctx AS (SELECT doc_id || '-' || start || '-' || length AS id, doc_id, surface, prob AS surface_link_prob, start, length, w, w[least(greatest(start - 25, 0), len(w) - 51) + 1:least(greatest(start - 25, 0), len(w) - 51) + 51] AS context FROM placed WHERE len(w) >= 51),
+    cand AS (SELECT ctx.*, item_id AS candidate, entry_probs.prob AS surface_prob FROM ctx JOIN entry_probs USING (surface)),
+    bw AS (SELECT item_id AS entity, unnest(w) AS word FROM bench), bown AS (SELECT entity, word, count(*) AS cnt FROM bw GROUP BY 1, 2), blm AS (SELECT *, sum(cnt) OVER (PARTITION BY entity) AS n FROM bown),
+    sizes AS (SELECT DISTINCT entity, n FROM blm),
+    cw AS (SELECT id, candidate, word, count(*) AS times FROM (SELECT id, candidate, unnest(context) AS word FROM cand) GROUP BY 1, 2, 3),
+    scored AS (SELECT id, candidate, sum(times * ln((coalesce(cnt, 0) + 0.1::DOUBLE) / (sizes.n + 1796441.1::DOUBLE))) AS context_prob
+               FROM cw JOIN sizes ON sizes.entity = candidate LEFT JOIN blm ON blm.entity = candidate AND blm.word = cw.word GROUP BY 1, 2),
+    feat0 AS (SELECT cand.id, doc_id, surface, cand.candidate, round(surface_prob, 6) AS surface_prob, round(context_prob, 6) AS context_prob, round(surface_link_prob, 6) AS surface_link_prob FROM cand JOIN scored ON cand.id = scored.id AND cand.candidate = scored.candidate),
+    feat AS (SELECT *, dense_rank() OVER (PARTITION BY id ORDER BY surface_prob DESC)::DOUBLE AS prom_rank, max(surface_prob) OVER (PARTITION BY id) - surface_prob AS prom_delta_top,
+                    surface_prob - (SELECT max(o.surface_prob) FROM feat0 o WHERE o.id = feat0.id AND o.surface_prob < feat0.surface_prob) AS prom_delta_succ,
+                    dense_rank() OVER (PARTITION BY id ORDER BY context_prob DESC)::DOUBLE AS context_rank, max(context_prob) OVER (PARTITION BY id) - context_prob AS context_delta_top,
+                    context_prob - (SELECT max(o.context_prob) FROM feat0 o WHERE o.id = feat0.id AND o.context_prob < feat0.context_prob) AS context_delta_succ FROM feat0)"""
+
+
+def _placed(spark: SparkSession, sf: str) -> DataFrame:
+    id_ = F.concat_ws("-", F.col("doc_id").cast("string"), F.col("start").cast("string"), F.col("length").cast("string"))
+    return _hits(spark, sf).join(_texts(spark, sf), "doc_id").withColumn("id", id_).withColumn("context", tx.context(F.col("tokens"), F.col("start")))
+
+
+def _candidates(spark: SparkSession, sf: str) -> DataFrame:
+    mentions = _placed(spark, sf).where("context is not null").select("id", "doc_id", F.col("surface").alias("surface_repr"), F.col("prob").alias("surface_link_prob"), "start", "length", "context")
+    probs = _entry_probs(spark, sf).withColumnRenamed("item_id", "destination")
+    return features.candidates(mentions, probs)
+
+
+def _model(spark: SparkSession, sf: str) -> DataFrame:
+    words = table(spark, sf, "benchmark").select(F.col("item_id").alias("entity"), F.explode(tx.tokens(F.col("text"))).alias("word"))
+    return langmodel.language_model(words)
+
+
+def _features(spark: SparkSession, sf: str) -> DataFrame:
+    cand = _candidates(spark, sf)
+    scored = langmodel.context_scores(cand.select("id", "candidate", "context"), _model(spark, sf))
+    rows = rounded(cand.drop("context").join(scored, ["id", "candidate"]), "surface_prob", "context_prob", "surface_link_prob", digits=6)
+    rows = features.second_order(features.second_order(rows, "surface_prob", "prom"), "context_prob", "context")
+    return rows.withColumnRenamed("surface_repr", "surface")
+
+
+@query(f"WITH {_DICT} SELECT doc_id, surface, start::BIGINT AS start, {_CTX} AS context FROM firsts JOIN toks USING (doc_id)")
+def context_windows(spark, sf):
+    return _placed(spark, sf).select("doc_id", "surface", "start", F.array_join("context", " ").alias("context"))
+
+
+@query(f"WITH {_FEATURES} SELECT id, surface, candidate, round(surface_prob, 9) AS surface_prob FROM cand")
+def candidates(spark, sf):
+    return _candidates(spark, sf).select("id", F.col("surface_repr").alias("surface"), "candidate", F.round("surface_prob", 9).alias("surface_prob"))
+
+
+@query(f"WITH {_FEATURES} SELECT id, candidate, round(context_prob, 6) AS context_prob FROM scored")
+def context_scores(spark, sf):
+    return rounded(langmodel.context_scores(_candidates(spark, sf).select("id", "candidate", "context"), _model(spark, sf)), "context_prob", digits=6)
+
+
+_ORDERED = ["prom_rank", "prom_delta_top", "prom_delta_succ", "context_rank", "context_delta_top", "context_delta_succ"]
+_ROUNDED = ", ".join(f"round({c}, 5) AS {c}" for c in _ORDERED)
+
+
+@query(f"WITH {_FEATURES} SELECT id, candidate, {_ROUNDED} FROM feat")
+def second_order_features(spark, sf):
+    return rounded(_features(spark, sf).select("id", "candidate", *_ORDERED), *_ORDERED, digits=5)
+
+
+#: Stand-in tags by the length of a word, as there is no tagger: of nine tags, one of each group and others.
+TAGS = ["NN", "NNP", "JJ", "VB", "CD", "SYM", "WP", "IN", "DT"]
+_TAG = "[" + ", ".join(f"'{t}'" for t in TAGS) + "]"
+_FLAG_SQL = ", ".join("CASE WHEN list_has_any(tags, [" + ", ".join(f"'{t}'" for t in own) + f"]) THEN 1.0 ELSE 0.0 END::DOUBLE AS pos_{name}" for name, own in features.GROUPS.items())
+_TAGGED = f"{_DICT}, tagged AS (SELECT doc_id, surface, start, length, [{_TAG}[len(x) % 9 + 1] FOR x IN string_split(surface, ' ')] AS tags FROM firsts)"
+
+
+def _tags(words):
+    return F.transform(words, lambda w: F.element_at(F.array(*map(F.lit, TAGS)), (F.length(w) % 9 + 1).cast("int")))
+
+
+@query(f"WITH {_TAGGED} SELECT doc_id, surface, start::BIGINT AS start FROM tagged WHERE len([t FOR t IN tags IF starts_with(t, 'N')]) > 0")
+def noun_filter(spark, sf):
+    rows = _placed(spark, sf).withColumn("tags", _tags(F.col("tokens")))
+    return rows.where(features.noun(F.col("tags"), F.col("start"), F.col("length"))).select("doc_id", "surface", "start")
+
+
+@query(f"WITH {_TAGGED} SELECT doc_id, surface, {_FLAG_SQL} FROM tagged")
+def pos_group_flags(spark, sf):
+    return _hits(spark, sf).withColumn("tags", _tags(F.split("surface", " "))).select("doc_id", "surface", *features.pos_flags(F.col("tags")))
+
+
+_TRUTH = "doc_id % 40"
+_LINES = ["surface_prob", *_ORDERED[:3], "context_prob", *_ORDERED[3:], "surface_link_prob"]
+
+
+def _feature_lines(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _features(spark, sf).withColumn("tags", _tags(F.split("surface", " ")))
+    return rows.select("id", "doc_id", "surface", "candidate", *_LINES, *features.pos_flags(F.col("tags")), (F.expr(_TRUTH) == F.col("candidate")).cast("double").alias("label"))
+
+
+@query(
+    f"""WITH {_FEATURES}, tagged AS (SELECT *, [{_TAG}[len(x) % 9 + 1] FOR x IN string_split(surface, ' ')] AS tags FROM feat)
+    SELECT id, doc_id, surface, candidate, {", ".join(f"round({c}, 5) AS {c}" for c in _LINES)}, {_FLAG_SQL}, CASE WHEN {_TRUTH} = candidate THEN 1.0 ELSE 0.0 END::DOUBLE AS label FROM tagged"""
+)
+def feature_lines(spark, sf):
+    return rounded(_feature_lines(spark, sf), *_LINES, digits=5)
+
+
+@query(
+    f"""WITH {_DICT}, links_ AS (SELECT doc_id, min(start) AS start FROM firsts GROUP BY 1)
+    SELECT f.doc_id, surface, f.start::BIGINT AS start FROM firsts f WHERE NOT EXISTS (SELECT 1 FROM links_ l WHERE l.doc_id = f.doc_id AND l.start = f.start)"""
+)
+def hits_not_at_links(spark, sf):
+    hits = _hits(spark, sf)
+    first = hits.groupBy("doc_id").agg(F.min("start").alias("start"))
+    return hits.join(first, ["doc_id", "start"], "left_anti").select("doc_id", "surface", "start")
+
+
+@query(f"WITH {_ANCHORS}, {_DICT}, n AS (SELECT source, pos, array_to_string(regexp_extract_all(lower(surface), '\\p{{L}}+'), ' ') AS surface FROM l), heads AS (SELECT surface, max(prob) AS prob FROM entry_probs GROUP BY 1) SELECT source, pos, surface, round(prob, 9) AS prob FROM n JOIN heads USING (surface)")
+def links_in_dictionary(spark, sf):
+    heads = matcher.dictionary(_entry_probs(spark, sf))
+    own = _links(spark, sf).select("source", "pos", F.array_join(tx.tokens(F.col("surface")), " ").alias("surface"))
+    return rounded(own.join(heads, "surface").select("source", "pos", "surface", "prob"), "prob")
+
+
+_POLICY = f"""WITH {_FEATURES}, r AS (SELECT id, CASE WHEN doc_id % 3 = 0 THEN 'link' ELSE 'hit' END AS kind, doc_id AS source, candidate FROM cand),
+    linked AS (SELECT DISTINCT source, candidate FROM r WHERE (source + candidate) % 4 = 0)"""
+
+
+def _policy(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = _candidates(spark, sf).select("id", F.when(F.expr("doc_id % 3 = 0"), "link").otherwise("hit").alias("kind"), F.col("doc_id").alias("source"), "candidate")
+    return rows, rows.where("(source + candidate) % 4 = 0").select("source", F.col("candidate").alias("destination"))
+
+
+@query(_POLICY + " SELECT * FROM r WHERE kind = 'link' OR NOT EXISTS (SELECT 1 FROM linked l WHERE l.source = r.source AND l.candidate = r.candidate)")
+def training_rows_candidate_only(spark, sf):
+    return features.training_rows(*_policy(spark, sf))
+
+
+@query(_POLICY + " SELECT * FROM r WHERE kind = 'link' OR id NOT IN (SELECT id FROM r JOIN linked USING (source, candidate) WHERE kind = 'hit')")
+def training_rows_entire_group(spark, sf):
+    return features.training_rows(*_policy(spark, sf), entire_group=True)
+
+
+_RULE = "surface_prob >= 0.4"
+_DECIDED = f"WITH {_FEATURES}, d AS (SELECT id, doc_id, candidate, {_RULE} AS yes, sum(({_RULE})::INT) OVER (PARTITION BY id) AS n FROM feat)"
+
+
+def _decided(spark: SparkSession, sf: str) -> DataFrame:
+    return features.decisions(_features(spark, sf), F.expr(_RULE)).select("id", "doc_id", "candidate", "node_type")
+
+
+@query(_DECIDED + " SELECT id, doc_id, candidate, 'SEED' AS node_type FROM d WHERE yes AND n = 1")
+def seed_decisions(spark, sf):
+    return _decided(spark, sf).where("node_type = 'SEED'")
+
+
+@query(_DECIDED + " SELECT id, doc_id, candidate, 'CANDIDATE' AS node_type FROM d WHERE yes AND n > 1")
+def candidate_decisions(spark, sf):
+    return _decided(spark, sf).where("node_type = 'CANDIDATE'")
+
+
+@query(
+    _DECIDED + f""", f AS (SELECT DISTINCT id, candidate FROM d WHERE yes AND n = 1), a AS (SELECT DISTINCT id, candidate FROM d WHERE {_TRUTH} = candidate),
+    c AS (SELECT (SELECT count(*) FROM f) AS n_found, (SELECT count(*) FROM a) AS n_actual, (SELECT count(*) FROM f JOIN a USING (id, candidate)) AS tp),
+    p AS (SELECT *, tp / nullif(n_found, 0) AS p, tp / nullif(n_actual, 0) AS r FROM c)
+    SELECT n_found, n_actual, tp, round(coalesce(p, -1), 9) AS precision, round(r, 9) AS recall, round(2 * p * r / nullif(p + r, 0), 9) AS f1 FROM p"""
+)
+def link_prf(spark, sf):
+    rows = _features(spark, sf)
+    found = _decided(spark, sf).where("node_type = 'SEED'")
+    return rounded(evaluate.prf(found, rows.where(f"{_TRUTH} = candidate"), ["id", "candidate"]), "precision", "recall", "f1")
+
+
+# --- evaluation ------------------------------------------------------------------------------
+
+THRESHOLDS = [0.005 * i for i in range(1, 11)] + [1.0]
+_SWEEP = f"""{_DICT}, actual AS (SELECT DISTINCT doc_id, surface FROM firsts WHERE len(surface) % 3 = 0 UNION SELECT doc_id, w[1] || ' ' || w[2] FROM toks WHERE len(w) >= 2),
+    th AS (SELECT unnest([{", ".join(f"{t!r}::DOUBLE" for t in THRESHOLDS)}]) AS threshold),
+    na AS (SELECT doc_id, count(*) AS n_actual, list(surface) AS all_actual FROM actual GROUP BY 1),
+    fa AS (SELECT doc_id, surface, f.prob, a.surface IS NOT NULL AS yes FROM firsts f FULL JOIN actual a USING (doc_id, surface)),
+    j AS (SELECT fa.*, coalesce(n_actual, 0) AS n_actual, coalesce(len([x FOR x IN all_actual IF contains(' ' || x || ' ', ' ' || surface || ' ')]) > 0, FALSE) AS inside FROM fa LEFT JOIN na USING (doc_id)),
+    per AS (SELECT doc_id, threshold, count(*) FILTER (prob >= threshold) AS n_filtered, max(n_actual) AS n_actual, count(*) FILTER (prob IS NOT NULL AND yes) AS n_potential,
+                   count(*) FILTER (prob >= threshold AND yes) AS tp, count(*) FILTER (prob >= threshold AND NOT yes) AS fp, count(*) FILTER (prob >= threshold AND NOT yes AND inside) AS subset_fp,
+                   count(*) FILTER (prob < threshold AND yes) AS fn FROM j CROSS JOIN th GROUP BY 1, 2)"""
+
+
+def _per_document(spark: SparkSession, sf: str) -> DataFrame:
+    hits = _hits(spark, sf)
+    actual = hits.where("length(surface) % 3 = 0").select("doc_id", "surface").union(_texts(spark, sf).where("size(tokens) >= 2").select("doc_id", F.expr("tokens[0] || ' ' || tokens[1]"))).distinct()
+    return evaluate.sweep(hits.select("doc_id", "surface", "prob"), actual, THRESHOLDS)
+
+
+@query(f"WITH {_SWEEP} SELECT doc_id, threshold, n_filtered, n_actual, n_potential, tp, fp, subset_fp, fn FROM per")
+def surface_eval_per_document(spark, sf):
+    return _per_document(spark, sf)
+
+
+_SUMS = ", ".join(f"sum({c})::BIGINT AS {c}" for c in evaluate.COUNTERS)
+
+
+@query(
+    f"""WITH {_SWEEP}, t AS (SELECT threshold, {_SUMS} FROM per GROUP BY 1),
+    p AS (SELECT *, n_filtered / nullif(max(n_filtered) OVER (), 0) AS filter_ratio, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fp - subset_fp, 0) AS precision_without_subsets, tp / nullif(tp + fn, 0) AS recall FROM t)
+    SELECT threshold, {", ".join(evaluate.COUNTERS)}, round(filter_ratio, 9) AS filter_ratio, round(precision, 9) AS precision, round(precision_without_subsets, 9) AS precision_without_subsets, round(recall, 9) AS recall,
+           round(2 * precision * recall / nullif(precision + recall, 0), 9) AS f1 FROM p"""
+)
+def surface_eval_summary(spark, sf):
+    return rounded(evaluate.summary(_per_document(spark, sf)), "filter_ratio", "precision", "precision_without_subsets", "recall", "f1")
+
+
+@query(
+    """WITH s AS (SELECT len(regexp_extract_all(lower(text), '\\p{L}+')) AS value, quality = 1 AS label FROM documents JOIN labels USING (doc_id)), th AS (SELECT unnest(range(0, 4401, 250)) AS threshold),
+    c AS (SELECT threshold, count(*) FILTER (value >= threshold AND label) AS tp, count(*) FILTER (value >= threshold AND NOT label) AS fp, count(*) FILTER (value < threshold AND NOT label) AS tn, count(*) FILTER (value < threshold AND label) AS fn FROM s CROSS JOIN th GROUP BY 1)
+    SELECT threshold, tp, fp, tn, fn, round(tp / nullif(tp + fn, 0), 9) AS tpr, round(fp / nullif(fp + tn, 0), 9) AS fpr FROM c"""
+)
+def roc_sweep(spark, sf):
+    scored = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(F.size(tx.tokens(F.col("text"))).cast("long").alias("value"), (F.col("quality") == 1).alias("label"))
+    return rounded(evaluate.roc(scored, list(range(0, 4401, 250))), "tpr", "fpr")
+
+
+# --- graph -----------------------------------------------------------------------------------
+
+_TRADE = """flows AS (SELECT cn.n_name AS f, sn.n_name AS t, count(*) AS cnt FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey
+              JOIN nation cn ON cn.n_nationkey = c_nationkey JOIN nation sn ON sn.n_nationkey = s_nationkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2),
+    kept AS (SELECT * FROM (SELECT *, avg(cnt) OVER (PARTITION BY f) AS mean, sum(cnt) OVER (PARTITION BY f) AS total FROM flows) WHERE cnt > mean),
+    edges AS (SELECT f, t, cnt / total AS prob FROM kept)"""
+
+
+def _edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Trade between nations: the share of a customer nation's lines from each supplier nation above the mean."""
+    customer = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
+    supplier = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    nation = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    met = orders.join(customer, F.col("c_custkey") == F.col("o_custkey")).join(lines, F.col("l_orderkey") == F.col("o_orderkey")).join(supplier, F.col("s_suppkey") == F.col("l_suppkey"))
+    flows = met.where("c_nationkey <> s_nationkey").groupBy("c_nationkey", "s_nationkey").agg(F.count("*").alias("cnt"))
+    flows = flows.join(nation.toDF("c_nationkey", "from"), "c_nationkey").join(nation.toDF("s_nationkey", "to"), "s_nationkey")
+    w = Window.partitionBy("from")  # 25 nations at any size
+    kept = flows.withColumns({"mean": F.avg("cnt").over(w), "total": F.sum("cnt").over(w)}).where("cnt > mean")
+    return kept.select("from", "to", (F.col("cnt") / F.col("total")).alias("prob"))
+
+
+def _shown(side: str):
+    return F.array_join(F.transform(side, lambda x: F.concat_ws(":", x.entity, F.round(x.prob, 6).cast("decimal(12,6)").cast("string"))), ",")
+
+
+_JOINED = "array_to_string(list({0} || ':' || round(prob, 6)::DECIMAL(12,6)::VARCHAR ORDER BY {0}), ',')"
+
+
+@query(f"WITH {_TRADE} SELECT f AS entity, {_JOINED.format('t')} AS neighbours FROM edges GROUP BY 1")
+def out_neighbours(spark, sf):
+    return graph.outgoing(_edges(spark, sf)).select("entity", _shown("out").alias("neighbours"))
+
+
+@query(f"WITH {_TRADE} SELECT t AS entity, {_JOINED.format('f')} AS neighbours FROM edges GROUP BY 1")
+def in_neighbours(spark, sf):
+    return graph.incoming(_edges(spark, sf)).select("entity", _shown("in").alias("neighbours"))
+
+
+@query(f"WITH {_TRADE}, o AS (SELECT f AS entity, {_JOINED.format('t')} AS outgoing FROM edges GROUP BY 1), i AS (SELECT t AS entity, {_JOINED.format('f')} AS incoming FROM edges GROUP BY 1) SELECT entity, incoming, outgoing FROM o JOIN i USING (entity)")
+def full_neighbours(spark, sf):
+    return graph.full_neighbours(_edges(spark, sf)).select("entity", _shown("in").alias("incoming"), _shown("out").alias("outgoing"))
+
+
+@query(
+    f"""WITH {_TRADE}, k AS (SELECT a.* FROM edges a JOIN edges b ON a.f = b.t AND a.t = b.f), u AS (SELECT f, t, prob, 'out' AS side FROM k UNION ALL SELECT f, t, prob, 'in' FROM k
+    UNION ALL SELECT f, 'null', 1 - sum(prob), 'out' FROM k GROUP BY 1 UNION ALL SELECT 'null', t, 1 - sum(prob), 'in' FROM k GROUP BY 2)
+    SELECT f AS "from", t AS "to", round(prob, 9) AS prob, side FROM u"""
+)
+def reciprocal_neighbours(spark, sf):
+    return rounded(graph.reciprocal(_edges(spark, sf)), "prob")
+
+
+@query(f"WITH RECURSIVE {_TRADE}, reach(node) AS (SELECT 'NATION_3' UNION SELECT t FROM reach JOIN edges ON f = node) SELECT node FROM reach")
+def reachable_from_seeds(spark, sf):
+    seeds = spark.createDataFrame([("NATION_3",)], "node string")
+    return graph.reachable(_cut(_edges(spark, sf).select("from", "to")), seeds, _cut)
+
+
+def _walk_sql() -> str:
+    steps = ["p0 AS (SELECT node, s AS p FROM s)"]
+    for i in range(1, 7):
+        steps.append(f"p{i} AS (SELECT node, 0.85::DOUBLE * coalesce(m, 0) + 0.15::DOUBLE * coalesce(s, 0) AS p FROM (SELECT t AS node, sum(p * prob) AS m FROM p{i - 1} JOIN walked ON f = node GROUP BY 1) FULL JOIN s USING (node))")
+    return f"WITH {_TRADE}, walked AS MATERIALIZED (SELECT * FROM edges), s AS (SELECT n_name AS node, 0.2::DOUBLE AS s FROM nation WHERE n_nationkey < 5), {', '.join(steps)} SELECT node, round(p, 9) AS p FROM p6"
+
+
+@query(_walk_sql())
+def random_walk_6(spark, sf):
+    seeds = table(spark, sf, "nation").where("n_nationkey < 5").select(F.col("n_name").alias("node"))
+    edges = _cut(_edges(spark, sf).withColumnRenamed("prob", "w"))
+    return rounded(graph.walk(edges, seeds, 6, _cut), "p")
+
+
+@query()
+def random_walk_resolution(spark, sf):
+    edges = _edges(spark, sf)
+    sides = graph.full_neighbours(edges)
+    customers = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    # A document for each market segment and tenth of keys; hits are balances of like size, candidates the nations that share one.
+    rows = customers.select(F.concat_ws("-", "c_mktsegment", (F.col("c_custkey") % 10).cast("string")).alias("doc_id"), F.col("n_name").alias("entity"), F.floor(F.col("c_acctbal") / 500).cast("string").alias("hit")).distinct()
+    n = F.count("*").over(Window.partitionBy("doc_id", "hit"))
+    typed = rows.withColumn("type", F.when(n == 1, "SEED").otherwise("CANDIDATE"))
+    return graph.resolve_documents(typed.join(sides, "entity").select("doc_id", "entity", "type", "hit", "in", "out"))
+
+
+# --- documents and models --------------------------------------------------------------------
+
+
+@query("SELECT doc_id, array_to_string(string_split(text, ' ')[1:60], ' ') AS text FROM documents WHERE len(string_split(text, ' ')) > 60 ORDER BY doc_id LIMIT 100")
+def first_n_documents(spark, sf):
+    words = F.split("text", " ")
+    return table(spark, sf, "documents").where(F.size(words) > 60).select("doc_id", F.array_join(F.slice(words, 1, 60), " ").alias("text")).orderBy("doc_id").limit(100)
+
+
+@query()
+def rf_cost_sensitive(spark, sf):
+    words = tx.tokens(F.col("text"))
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("doc_id", F.size(words).cast("double").alias("n_words"), F.size(F.array_distinct(words)).cast("double").alias("n_distinct"), F.length("text").cast("double").alias("size"), F.size(F.split("text", "\n")).cast("double").alias("n_lines"), F.col("quality").alias("label"))
+    columns = ["n_words", "n_distinct", "size", "n_lines"]
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    model = ml.train_forest(docs.where(bucket == 0), columns, "label")
+    return ml.expected_cost(docs.where(bucket == 1), model, columns, false_positive=10.0).select("doc_id", "label", F.round("p1", 6).alias("p1"), "predicted")
