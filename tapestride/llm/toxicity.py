@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 #: Labelled documents of either class from which the model is fitted, at most.
-SAMPLE = 2500
+SAMPLE = 1000
 #: Bytes of text of a sampled document that are read, at most; only for fitting.
 SAMPLE_BYTES = 20_000
 BUCKETS = 1 << 18
@@ -117,18 +117,52 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(self.signals(marginals) @ self.curve, -30, 30)))
 
 
-def tag_tokens(docs: list[list[str]], labels: list[int], least: int = 5, ratio: float = 25.0) -> list[np.ndarray]:
-    """Token tags from document labels: 1 in a toxic document for a word, or a start of 4 to 6
-    characters of one, that at least ``least`` toxic documents have and whose share of toxic
-    documents is ``ratio`` times that of clean ones (half a document is added to the latter)."""
-    cues = lambda t: {w, *[f"{w[:n]}\0" for n in (4, 5, 6) if len(w) > n]} if (w := t.strip(_EDGE).lower()) else set()
-    per = [[cues(t) for t in d] for d in docs]
-    seen = (Counter(), Counter())
-    for own, y in zip(per, labels):
-        seen[y].update(set().union(*own))
-    n = [max(1, labels.count(0)), max(1, labels.count(1))]
-    toxic = {c for c, k in seen[1].items() if k >= least and k / n[1] >= ratio * (seen[0][c] + 0.5) / n[0]}
-    return [np.array([bool(y and c & toxic) for c in own], bool) for own, y in zip(per, labels)]
+def copies(docs: list[np.ndarray], labels: list[int]) -> np.ndarray:
+    """A group number for each document (of word numbers): near copies with one label share it."""
+    group = np.arange(len(docs))
+
+    def root(i: int) -> int:
+        while group[i] != i:
+            group[i] = i = group[group[i]]
+        return i
+
+    met: dict[tuple, int] = {}
+    for i, (d, y) in enumerate(zip(docs, labels)):
+        h = d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h = h[:-1] ^ (h[1:] >> np.uint64(17)) if h.size > 1 else h
+        for k in range(12):
+            if h.size:
+                a, b = root(met.setdefault((k, y, int(((h ^ (h >> np.uint64(29))) * np.uint64(2 * k * 0x5851F42D4C957F2D % 2**64 + 1)).min())), i)), root(i)
+                group[max(a, b)] = min(a, b)
+    return np.array([root(i) for i in range(len(docs))])
+
+
+def tag_words(vocab: list[str], docs: list[np.ndarray], labels: list[int], least: int = 5, ratio: float = 25.0) -> np.ndarray:
+    """Which words are toxic by the documents' labels: those that at least ``least`` toxic
+    documents have (near copies taken as one), or a start of 4 to 6 characters of them, and whose share of toxic documents
+    is ``ratio`` times that of clean ones (half a document is added to the latter)."""
+    cue_of: dict[str, int] = {}
+    flat, owner = [], []
+    for i, t in enumerate(vocab):
+        w = t.strip(_EDGE).lower()
+        for c in (w, *[f"{w[:n]}\0" for n in (4, 5, 6) if len(w) > n]) if w else ():
+            flat.append(cue_of.setdefault(c, len(cue_of)))
+            owner.append(i)
+    flat, owner = np.array(flat, np.int32), np.array(owner, np.int32)
+    n_cues = len(cue_of)
+    del cue_of
+    starts = np.searchsorted(owner, np.arange(len(vocab) + 1))
+    seen = np.zeros((2, n_cues), np.int64)
+    group, label = copies(docs, labels), np.array(labels)
+    order = np.argsort(group, kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(group[order])) + 1)
+    for part in parts:  # near copies count once
+        words, y = np.unique(np.concatenate([docs[i] for i in part])), label[part[0]]
+        own = np.concatenate([flat[starts[w] : starts[w + 1]] for w in words]) if words.size else flat[:0]
+        seen[y, np.unique(own)] += 1
+    n = [max(1, sum(label[part[0]] == y for part in parts)) for y in (0, 1)]
+    toxic = (seen[1] >= least) & (seen[1] / n[1] >= ratio * (seen[0] + 0.5) / n[0])
+    return np.bincount(owner, toxic[flat], len(vocab)) > 0
 
 
 def fit(texts: list[str], labels: list[int], rounds: int = 60, rate: float = 0.5, ridge: float = 1e-4) -> Field:
@@ -141,19 +175,20 @@ def fit(texts: list[str], labels: list[int], rounds: int = 60, rate: float = 0.5
         share = min(max(float(np.mean(labels)) if labels else 0.0, 1e-6), 1 - 1e-6)
         field.curve = np.array([np.log(share / (1 - share)), 0.0, 0.0])
         return field
-    docs = [t.split() for t in texts]
-    tags = tag_tokens(docs, labels)
-    vocab: dict[str, int] = {}
-    ids = [np.array([vocab.setdefault(t, len(vocab)) for t in d], np.int64) for d in docs]
-    own = [features(t) for t in vocab]
-    flat, owner = np.array([x for f in own for x in f]), np.repeat(np.arange(len(own)), [len(f) for f in own])
+    index: dict[str, int] = {}
+    ids = [np.array([index.setdefault(t, len(index)) for t in text.split()], np.int32) for text in texts]
+    vocab = list(index)
+    del index
+    words = tag_words(vocab, ids, labels)
+    own = [np.array(features(t), np.int32) for t in vocab]
+    flat, owner = np.concatenate(own or [np.zeros(0, np.int32)]), np.repeat(np.arange(len(own), dtype=np.int32), [len(f) for f in own])
+    del own
     where = np.concatenate(ids)
-    y = np.concatenate(tags).astype(np.float64)
+    y = np.concatenate([words[i] & bool(label) for i, label in zip(ids, labels)]).astype(np.float64)
     ends = np.cumsum([len(i) for i in ids])
     inner = np.ones(where.size, bool)
     inner[[0, *[e for e in ends[:-1] if e < where.size]]] = False  # tokens that follow another
     pair = np.flatnonzero(inner)
-    counts = np.bincount(where, minlength=len(vocab)).astype(np.float64)
     square, square_t = np.full(BUCKETS, 1e-8), np.full((2, 2), 1e-8)
     for _ in range(rounds):
         e = np.bincount(owner, field.weights[flat], len(vocab))
@@ -166,7 +201,6 @@ def fit(texts: list[str], labels: list[int], rounds: int = 60, rate: float = 0.5
         square, square_t = square + grad**2, square_t + grad_t**2
         field.weights += rate * grad / np.sqrt(square)
         field.transitions += 0.2 * rate * grad_t / np.sqrt(square_t)
-    del counts
     e = np.bincount(owner, field.weights[flat], len(vocab))
     x, target = field.signals(field.marginals([e[i] for i in ids])), np.array(labels, np.float64)
     for _ in range(200):  # Newton steps with a ridge
@@ -229,3 +263,25 @@ def score(df: DataFrame, field: Field, threshold: float = 0.7) -> DataFrame:
 
     scored = df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int,p:double>>")
     return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
+
+
+def reject(df: DataFrame, field: Field, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``df``, all columns as they are, whose text scores below ``threshold``.
+
+    Null and empty texts score as texts without toxic tokens. No row is moved or shuffled.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(field)
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        own, out, part, held = shared.value, [], [], 0
+        for t in [*texts, ...]:
+            if part and (t is ... or held > 8 << 20):  # emissions of about 32 MB of text at once
+                out.append(own.score(own.marginals(part)))
+                part, held = [], 0
+            if t is not ...:
+                part.append(own.emissions((t or "").split()))
+                held += part[-1].nbytes
+        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+
+    return df.where(scored("text") < threshold)
