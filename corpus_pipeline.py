@@ -3,19 +3,54 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tapestride.llm import packing
+from tapestride.llm import lines, minhash, packing, suffixes, toxicity
 from tapestride.llm.common import Scratch, documents
 from tapestride.llm.entry import tokenizer_path
 
 
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def _measured(docs: DataFrame) -> DataFrame:
+    """``n_chars``, where there is such a column, follows the changed text."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the field, trained on labelled ones among them, scores 0.7 or more go."""
+    return toxicity.reject(docs, toxicity.train(docs, documents(spark, sf_dir, "labels")))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines met before, exactly or but for an edit or two, go; every document stays."""
+    return _measured(lines.deduplicate(docs).drop("n_removed"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays; so do documents without id."""
+    gone = minhash.near_duplicates(docs).where("doc_id is not null and not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings of 200 that occur twice go, wherever they occur; every document stays."""
+    return _measured(suffixes.deduplicate(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of what is left, with their sequence and place."""
     return packing.pack(docs, tokenizer_path(), 1024, 2)
 
 
-STAGES = [("packing", best_fit_packing)]
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("MinHash near-dedup", drop_near_copies),
+    ("suffix-array dedup", cut_repeated_passages),
+    ("best-fit packing", pack),
+]
 
-#: No stage but the last could be put in SQL; tests hold the stages against brute force.
+#: The stages before the last train a model, chain edit distances and hash windows of bytes;
+#: no SQL gives their rows, so tests hold each stage against brute force instead.
 ORACLE_SQL = None
 
 
@@ -23,8 +58,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each result is written and read again."""
     held = Scratch(spark, "pipeline")
     docs = documents(spark, sf_dir)
-    for i, (name, stage) in enumerate(STAGES):
-        docs = held.write(stage(spark, docs, sf_dir), f"{i}-{name}")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = held.write(stage(spark, docs, sf_dir), f"stage-{i}")
         if i:
-            held.drop(f"{i - 1}-{STAGES[i - 1][0]}")
+            held.drop(f"stage-{i - 1}")
     return docs
