@@ -6,11 +6,11 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -75,9 +75,20 @@ def encoded(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def id_column(df: DataFrame, name: str) -> T.DataType:
-    return df.schema[name].dataType
+def bitmap(ids: DataFrame, name: str, bits: int) -> np.ndarray:
+    """A fixed number of bits, packed, with those of a long column's values set.
 
-
-def lower_hex(column):
-    return F.lower(F.hex(column))
+    It has ``bits / 8`` bytes however many rows there are; with very many it lets all pass.
+    """
+    place = F.pmod(F.col(name), F.lit(bits)) + 1
+    rows = ids.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("own")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        out[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(bytes(r.own), np.uint8)
+    return out
+
+
+def has_bits(packed: np.ndarray, ids: np.ndarray, bits: int) -> np.ndarray:
+    """Which ids have their bit set in a bitmap."""
+    at = ids % bits
+    return (packed[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)

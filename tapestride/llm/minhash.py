@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import Scratch, encoded, slices
+from .common import Scratch, bitmap, encoded, has_bits, slices
 from .graph import components
 
 HALF, WIDTH = 9, 2
 #: A pair whose minhashes agree in fewer of the 36 places is no candidate; at similarity 0.8
 #: that has a probability below one in a million.
 AGREE = 16
-BITS = 1 << 23
+BITS, KEY_BITS = 1 << 23, 1 << 25
 _SEED = np.random.default_rng(20240607)
 _A = _SEED.integers(0, 2**63, 2 * HALF * WIDTH, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _SEED.integers(0, 2**63, 2 * HALF * WIDTH, np.uint64)
@@ -73,12 +73,34 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, sig array<int>")
 
 
-def _keyed(reps: DataFrame) -> DataFrame:
-    """(key, rep) of every table: the table's two half keys, hashed with its number."""
-    tables = reps.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(HALF * HALF - 1))).alias("t"))
-    parts = [F.col("sig")[(F.col("t") / HALF).cast("int") * WIDTH + w] for w in range(WIDTH)]
-    parts += [F.col("sig")[F.lit(HALF * WIDTH) + F.col("t") % HALF * WIDTH + w] for w in range(WIDTH)]
-    return tables.select(F.xxhash64("t", *parts).alias("key"), "rep")
+def table_keys(sig: np.ndarray) -> np.ndarray:
+    """Keys of all tables (columns) for rows of minhashes: every half key of one collection with every one of the other."""
+    half = sig.view(np.uint32).astype(np.uint64).reshape(len(sig), 2, HALF, WIDTH)
+    own = np.zeros((len(sig), 2, HALF), np.uint64)
+    for w in range(WIDTH):
+        own = _mix(own * np.uint64(0x9E3779B97F4A7C15) + half[..., w] + np.uint64(w + 1))
+    number = np.arange(HALF * HALF, dtype=np.uint64).reshape(HALF, HALF)
+    return _mix(own[:, 0, :, None] ^ _mix(own[:, 1, None, :] + number)).reshape(len(sig), -1).view(np.int64)
+
+
+def _keyed(reps: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """(key, rep) of every table; only keys of ``among``, and a few that share a bit with one, if it is given."""
+    shared = None if among is None else reps.sparkSession.sparkContext.broadcast(bitmap(among, "key", KEY_BITS))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                rep = part.column(0).to_numpy()
+                key = table_keys(part.column(1).flatten().to_numpy().reshape(part.num_rows, -1))
+                who = np.repeat(rep, key.shape[1])
+                key = key.ravel()
+                if shared is not None:
+                    some = has_bits(shared.value, key, KEY_BITS)
+                    key, who = key[some], who[some]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(who)], ["key", "rep"])
+
+    return reps.select("rep", "sig").mapInArrow(run, "key long, rep long")
 
 
 def _screen(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -94,18 +116,12 @@ def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
 
     The bits, 1 MB however many ids there are, spare the other documents hashing and shuffling.
     """
-    place = F.pmod(F.col("id"), F.lit(BITS)) + 1
-    rows = ids.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
-    bits = np.zeros(BITS, bool)
-    for r in rows:
-        bits[(r.k - 1) * 32768 : r.k * 32768] = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(ids, "id", BITS))
 
     def run(batches):
-        wanted = np.unpackbits(shared.value).astype(bool)
         for batch in slices(batches, "text"):
             doc = batch.column(0).to_numpy(zero_copy_only=False)
-            batch = batch.take(pa.array(np.flatnonzero(wanted[doc % BITS])))
+            batch = batch.take(pa.array(np.flatnonzero(has_bits(shared.value, doc, BITS))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x).tobytes() for x in encoded(batch.column(1))], pa.binary())], ["doc_id", "own"])
 
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, own binary")
@@ -154,7 +170,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     # Tables repeat each other: buckets with the same members are told by size, ends and a hash, and kept once.
     buckets = keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("rep")).alias("h")).where("k > 1 and lo <> hi")
     buckets = held.write(buckets.groupBy("lo", "hi", "k", "h").agg(F.min("key").alias("key")), "buckets")
-    members = held.write(keyed.join(buckets.where("k > 2").select("key", "lo"), "key").select("key", "lo", "rep"), "members")
+    large = buckets.where("k > 2").select("key", "lo")
+    members = held.write(_keyed(reps, large).join(large, "key").select("key", "lo", "rep"), "members")
     first = buckets.where("k = 2").select(F.col("lo").alias("x"), F.col("hi").alias("y"))
     first = first.unionByName(members.where("rep <> lo").select(F.col("lo").alias("x"), F.col("rep").alias("y"))).distinct()
     first = held.write(_screen(first, reps), "pairs-1")
