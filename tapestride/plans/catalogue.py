@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stem
 from ..functions import text as tx
 from ..operators import evaluate, features, graph, langmodel, links, matcher, ml
+from ..sources import dump, sample
 from ..sources.tables import table
 
 QUERIES = {}
@@ -30,9 +33,15 @@ def rounded(df: DataFrame, *names: str, digits: int = 9) -> DataFrame:
 
 def _cut(df: DataFrame) -> DataFrame:
     """Materialises a small step of an iteration in the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
+    _shared(df.sparkSession)
+    return df.checkpoint()
+
+
+def _shared(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it; one of its own only in local mode."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
             import tempfile
 
@@ -40,7 +49,35 @@ def _cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="tapestride-")
         sc.setCheckpointDir(named)
-    return df.checkpoint()
+    return sc.getCheckpointDir()
+
+
+# --- dumps -----------------------------------------------------------------------------------
+
+_MARKUP = r"""m AS (SELECT coalesce(url, '') AS title, CASE WHEN page_id % 5 = 0 THEN 1 ELSE 0 END AS ns, CASE WHEN contains(url, '?') THEN split_part(url, '?', 1) END AS redirect,
+    concat_ws(' ', repeat(chr(39), 3) || 'page' || repeat(chr(39), 3), array_to_string([regexp_replace(a, '<a href="/?([^"]*)">([^<]*)</a>', '[[\1|\2]]') FOR a IN regexp_extract_all(coalesce(html, ''), '<a href="[^"]*">[^<]*</a>')], ' ')) AS source FROM pages)"""
+
+
+def _dump(spark: SparkSession, sf: str) -> DataFrame:
+    at = f"{_shared(spark)}/dump-{uuid.uuid4().hex[:12]}"
+    sample.write_dump(table(spark, sf, "pages"), at)
+    return dump.read_dump(spark, at)
+
+
+@query(f"WITH {_MARKUP} SELECT title, ns, redirect, source FROM m")
+def xml_pages(spark, sf):
+    return _dump(spark, sf)
+
+
+@query()
+def wikitext_links(spark, sf):
+    return dump.links(dump.parse(dump.articles(_dump(spark, sf)))).select("source", "pos", "surface", "surface_repr", "destination")
+
+
+@query()
+def wikitext_link_tokens(spark, sf):
+    found = dump.link_tokens(dump.parse(dump.articles(_dump(spark, sf))))
+    return found.select("title", "surface", "destination", "token", F.array_join(F.transform("words", lambda w: w.word), " ").alias("words"))
 
 
 # --- links -----------------------------------------------------------------------------------
