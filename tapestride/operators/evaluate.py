@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -37,11 +37,10 @@ def ratio(a: Column, b: Column) -> Column:
 def summary(per_document: DataFrame) -> DataFrame:
     """Counters added up per threshold, with the share of hits kept, precision, recall and F1.
 
-    The largest number of hits comes from a one-row aggregate, whose size is fixed.
+    The totals are a row per threshold, so the window over all of them stays that small.
     """
     total = per_document.groupBy("threshold").agg(*[F.sum(c).alias(c) for c in COUNTERS])
-    top = total.agg(F.max("n_filtered").alias("most"))
-    out = total.join(F.broadcast(top))
+    out = total.withColumn("most", F.max("n_filtered").over(Window.partitionBy(F.lit(1))))
     p, p2, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fp") - F.col("subset_fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     return out.select("threshold", *COUNTERS, ratio(F.col("n_filtered"), F.col("most")).alias("filter_ratio"), p.alias("precision"), p2.alias("precision_without_subsets"), r.alias("recall"), F.try_divide(2 * p * r, p + r).alias("f1"))
 
