@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -17,7 +17,7 @@ def assemble(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def train_forest(train: DataFrame, columns: list[str], label: str, trees: int = 20, seed: int = 1):
-    """A random forest over the columns; the model goes through ``save`` and ``RandomForestClassificationModel.load``."""
+    """A random forest over the columns; see ``save`` and ``load``."""
     return RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=6, seed=seed).fit(assemble(train, columns).withColumn(label, F.col(label).cast("double")))
 
 
@@ -25,3 +25,11 @@ def expected_cost(df: DataFrame, model, columns: list[str], false_negative: floa
     """Adds ``p1`` and ``predicted``: 1 where that has the smaller expected cost."""
     scored = model.transform(assemble(df, columns)).withColumn("p1", vector_to_array("probability")[1])
     return scored.drop("features", "rawPrediction", "probability", "prediction").withColumn("predicted", (F.col("p1") > false_positive / (false_positive + false_negative)).cast("int"))
+
+
+def save(model, at: str) -> None:
+    model.write().overwrite().save(at)
+
+
+def load(at: str) -> RandomForestClassificationModel:
+    return RandomForestClassificationModel.load(at)
