@@ -15,6 +15,7 @@ import heapq
 import json
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import lean, slices
 
 SHORT = 48
-#: Words kept with their ids in each Python worker; beyond it the memory starts anew.
-CACHE = 800_000
+#: Parts of texts kept with their ids in each Python worker. Beyond it, and when a task ends,
+#: only the first are kept: what is met early is what is met often.
+CACHE, KEPT = 700_000, 400_000
 _NONE = np.uint32(0xFFFFFFFF)
 _LOADED: dict[str, "Codec"] = {}
 
@@ -197,6 +199,9 @@ class Codec:
             out[c] = b"".join([out[w] for w in own])
         return out
 
+    def trim(self) -> None:
+        self.known = dict(islice(self.known.items(), KEPT))
+
     def _general(self, texts: list[str]) -> list[bytes]:
         """Texts with runs of white space: they are cut only at a blank between two other characters."""
         lists = [self.BLANK.split(t) if t else [] for t in texts]
@@ -207,7 +212,7 @@ class Codec:
         """Cuts at every blank. A part with white space at an edge is never known, which sends
         its text to ``_general``; other parts are independent of their neighbours."""
         if len(self.known) > CACHE:
-            self.known.clear()
+            self.trim()
         lists = [t.split(" ") for t in texts]
         get = self.known.get
         parts = [list(map(get, own)) for own in lists]
@@ -274,6 +279,7 @@ def encoded_batches(batches: Iterator[pa.RecordBatch], path: str, text: str) ->
     for batch in slices(batches, text):
         texts = [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
         yield batch, texts, c.encode(texts)
+    c.trim()
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,7 +294,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             flat, ends = np.frombuffer(b"".join(ids), "<u4").astype(np.int32), np.cumsum([0, *[len(x) // 4 for x in ids]])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], [id_col, "ids"])
 
-    return df.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return df.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(lean(run), f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -301,7 +307,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
             texts = [c.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 
-    return df.select(F.col(id_col), F.col(ids_col).alias("__ids")).mapInArrow(run, f"`{id_col}` {kind}, text string")
+    return df.select(F.col(id_col), F.col(ids_col).alias("__ids")).mapInArrow(lean(run), f"`{id_col}` {kind}, text string")
 
 
 def digests(df: DataFrame, path: str) -> DataFrame:
@@ -321,4 +327,4 @@ def digests(df: DataFrame, path: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

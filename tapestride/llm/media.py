@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoded, slices
+from .common import encoded, lean, slices
 
 NONE, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
@@ -260,7 +260,7 @@ def decode_pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who, pa.int64())), *columns], [id_col, *schema.names])
 
     out = f"`{id_col}` {kind}, page int, width int, height int, samples int, compression int, predictor int, pixels binary, error string"
-    return df.select(F.col(id_col), F.col(media_col).alias("__media")).mapInArrow(run, out)
+    return df.select(F.col(id_col), F.col(media_col).alias("__media")).mapInArrow(lean(run), out)
 
 
 def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", compression: int = DEFLATE, predictor: int = 2) -> DataFrame:
@@ -272,7 +272,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", compres
             files = [write([padded(x)], compression=compression, predictor=predictor) for x in encoded(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], [id_col, "media"])
 
-    return df.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, media binary")
+    return df.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(lean(run), f"`{id_col}` {kind}, media binary")
 
 
 def padded(data: bytes) -> bytes:
@@ -304,4 +304,4 @@ def digests(df: DataFrame) -> DataFrame:
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], names)
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return df.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

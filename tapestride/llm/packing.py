@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoded_batches
-from .common import Scratch
+from .common import Scratch, lean
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -143,7 +143,7 @@ def pieces(df: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
             names = ("doc_id", "piece", "start", "length", "ids_crc32", "part", "rank")
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], list(names))
 
-    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"{PIECE}, part int, rank long")
+    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), f"{PIECE}, part int, rank long")
 
 
 def pack(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
@@ -172,4 +172,4 @@ def pack(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> Dat
             at = own[np.searchsorted(keys, length << 40 | rank, "right") - 1]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(at[:, 2] + rank - at[:, 1]), pa.array(at[:, 3])], [*b.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, f"{PIECE}, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(place), f"{PIECE}, sequence_id long, offset long")

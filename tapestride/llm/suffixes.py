@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import Scratch, encoded, slices
+from .common import Scratch, bitmap, encoded, has_bits, lean, slices
 
 LENGTH, GRAM = 200, 100
 #: Runs of one gram beyond which their windows are counted in Spark, not sorted in one task.
@@ -164,23 +164,8 @@ def repeated_starts(texts: list[bytes], grams: np.ndarray, length: int = LENGTH,
     return [flag[b : b + k] for b, k in zip(base.tolist(), n.tolist())]
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A fixed number of bits, packed, with those of the column ``id`` set."""
-    place = F.pmod(F.col("id"), F.lit(BITS)) + 1
-    rows = ids.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
-    bits = np.zeros(BITS // 8, np.uint8)
-    for r in rows:
-        bits[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-    return bits
-
-
-def _has(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    at = ids % BITS
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-
-
 def _pair(a: np.ndarray, b) -> np.ndarray:
-    """One hash of two, as ``_bitmap`` takes it."""
+    """One hash of two, for ``bitmap``."""
     x = (a.view(_U) ^ (np.asarray(b, np.int64).view(_U) * _U(_BASE))) * _U(0xD6E8FEB86659FD93)
     return (x ^ (x >> _U(31))).view(np.int64)
 
@@ -195,7 +180,7 @@ def _ranges(docs: DataFrame, held: Scratch, hot: int) -> DataFrame:
             n = [p[0].size for p in parts]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[0] for p in parts])), pa.array(np.concatenate([p[1] for p in parts])), pa.array(np.repeat(key, n))], ["gram", "whole", "row_key"])
 
-    all_runs = docs.mapInArrow(listed, "gram long, whole long, row_key long")
+    all_runs = docs.mapInArrow(lean(listed), "gram long, whole long, row_key long")
     classes = held.write(all_runs.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min("row_key").alias("rep")), "classes")
     met = classes.groupBy("gram").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where("total > 1").select("gram", "k")
     known = held.write(classes.join(met, "gram"), "known")
@@ -203,7 +188,7 @@ def _ranges(docs: DataFrame, held: Scratch, hot: int) -> DataFrame:
     full = known.where("n > 1").select("gram", "whole")
     open_ = known.where("k > 1").select("gram", "whole", "n", "rep", "k")
     paired = F.pandas_udf(lambda w, r: pd.Series(_pair(w.to_numpy(), r.to_numpy())), "long")
-    shared = spark.sparkContext.broadcast((_bitmap(full.select(F.col("whole").alias("id"))), _bitmap(open_.select(paired("whole", "rep").alias("id")))))  # 8 MB at any size
+    shared = spark.sparkContext.broadcast((bitmap(full, "whole", BITS), bitmap(open_.select(paired("whole", "rep").alias("id")), "id", BITS)))  # 8 MB at any size
 
     def found(batches):
         bits, pairs = shared.value
@@ -211,14 +196,14 @@ def _ranges(docs: DataFrame, held: Scratch, hot: int) -> DataFrame:
             out = [[], [], [], [], [], []]
             for key, x in zip(batch.column(0).to_pylist(), encoded(batch.column(1))):
                 gram, whole, a, b = runs(x)
-                plain = _has(bits, whole)
-                text = _has(pairs, _pair(whole, np.full(whole.size, key)))
+                plain = has_bits(bits, whole, BITS)
+                text = has_bits(pairs, _pair(whole, np.full(whole.size, key)), BITS)
                 for i in np.flatnonzero(plain | text).tolist():
                     for column, value in zip(out, (gram[i], whole[i], key, a[i], b[i], x[a[i] : b[i] + LENGTH] if text[i] else None)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:5]], pa.array(out[5], pa.binary())], ["gram", "whole", "row_key", "a", "b", "text"])
 
-    marked = held.write(docs.mapInArrow(found, "gram long, whole long, row_key long, a long, b long, text binary"), "marked")
+    marked = held.write(docs.mapInArrow(lean(found), "gram long, whole long, row_key long, a long, b long, text binary"), "marked")
     whole_runs = marked.drop("text").join(full, ["gram", "whole"]).select("row_key", "a", "b")
     edges = marked.where("text is not null").join(open_.withColumnRenamed("rep", "row_key"), ["gram", "whole", "row_key"]).dropDuplicates(["gram", "whole"])
     edges = held.write(edges.select("gram", "row_key", "a", "b", "text", "n", "k"), "edges")
@@ -241,7 +226,7 @@ def _ranges(docs: DataFrame, held: Scratch, hot: int) -> DataFrame:
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if size > 1_000_000 and row[0] != held_rows[-1][0]:
+                if size > 400_000 and row[0] != held_rows[-1][0]:
                     yield flush(held_rows)
                     held_rows, size = [], 0
                 held_rows.append(row)
@@ -252,7 +237,7 @@ def _ranges(docs: DataFrame, held: Scratch, hot: int) -> DataFrame:
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cool = edges.where(F.col("k") <= hot).select("gram", "row_key", "a", "b", "text", "n").repartition(parts, "gram").sortWithinPartitions("gram")
-    sorted_ = cool.mapInArrow(sort, "row_key long, a long, b long")
+    sorted_ = cool.mapInArrow(lean(sort), "row_key long, a long, b long")
     # A gram of very many different surroundings: its windows become rows, counted with partial sums.
     windows = edges.where(F.col("k") > hot).select("gram", "row_key", "n", "text", "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - F.col("a"))).alias("i"))
     windows = windows.select("gram", "row_key", "n", (F.col("a") + F.col("i")).alias("a"), F.sha2(F.expr(f"substring(text, cast(i as int) + 1, {LENGTH})"), 256).alias("h"))
@@ -320,4 +305,4 @@ def digests(docs: DataFrame, hot: int = HOT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     joined = _joined(docs.select(F.col("doc_id").cast("long"), "text"), hot)
-    return joined.select("doc_id", "text", "__ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.select("doc_id", "text", "__ranges").mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

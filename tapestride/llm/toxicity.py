@@ -17,14 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import lean, slices
 
-#: Labelled documents of either class from which the model is fitted, at most.
-SAMPLE = 1000
+#: Labelled documents, clean and toxic, from which the model is fitted, at most.
+SAMPLE = (2500, 1000)
 #: Bytes of text of a sampled document that are read, at most; only for fitting.
 SAMPLE_BYTES = 20_000
 BUCKETS = 1 << 18
-CACHE = 600_000
+#: Words kept with their potentials within a task.
+CACHE = 300_000
 _EDGE = ".,;:!?\"'()[]{}<>«»„“”‘’¿¡…-–—*_/\\"
 _WORD = re.compile(r"\S+")
 
@@ -127,20 +128,27 @@ def copies(docs: list[np.ndarray], labels: list[int]) -> np.ndarray:
         return i
 
     met: dict[tuple, int] = {}
+    odd = np.random.default_rng(3).integers(0, 2**63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
     for i, (d, y) in enumerate(zip(docs, labels)):
-        h = d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        h = h[:-1] ^ (h[1:] >> np.uint64(17)) if h.size > 1 else h
-        for k in range(12):
-            if h.size:
-                a, b = root(met.setdefault((k, y, int(((h ^ (h >> np.uint64(29))) * np.uint64(2 * k * 0x5851F42D4C957F2D % 2**64 + 1)).min())), i)), root(i)
-                group[max(a, b)] = min(a, b)
+        h = d.astype(np.uint64) + np.uint64(1)
+        h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:] * np.uint64(0xD6E8FEB86659FD93) if h.size > 1 else h
+        h = np.unique((h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9))
+        if not h.size:
+            continue
+        least = [int((h * o >> np.uint64(32)).min()) for o in odd]
+        for k in range(0, 16, 4):  # four minhashes of word pairs together, so that only near copies meet
+            a, b = root(met.setdefault((k, y, *least[k : k + 4]), i)), root(i)
+            group[max(a, b)] = min(a, b)
     return np.array([root(i) for i in range(len(docs))])
 
 
-def tag_words(vocab: list[str], docs: list[np.ndarray], labels: list[int], least: int = 5, ratio: float = 25.0) -> np.ndarray:
-    """Which words are toxic by the documents' labels: those that at least ``least`` toxic
-    documents have (near copies taken as one), or a start of 4 to 6 characters of them, and whose share of toxic documents
-    is ``ratio`` times that of clean ones (half a document is added to the latter)."""
+def tag_words(vocab: list[str], docs: list[np.ndarray], labels: list[int], ratio: float = 25.0, chance: float = 1.0) -> np.ndarray:
+    """Which words are toxic by the documents' labels (near copies taken as one).
+
+    A cue is a word or a start of 4 to 6 characters of one. It is toxic if its share of toxic
+    documents is ``ratio`` times that of clean ones (half a document is added to the latter)
+    and if so uneven a split is expected, by Chernoff's bound, of at most ``chance`` of all cues.
+    """
     cue_of: dict[str, int] = {}
     flat, owner = [], []
     for i, t in enumerate(vocab):
@@ -161,7 +169,11 @@ def tag_words(vocab: list[str], docs: list[np.ndarray], labels: list[int], least
         own = np.concatenate([flat[starts[w] : starts[w + 1]] for w in words]) if words.size else flat[:0]
         seen[y, np.unique(own)] += 1
     n = [max(1, sum(label[part[0]] == y for part in parts)) for y in (0, 1)]
-    toxic = (seen[1] >= least) & (seen[1] / n[1] >= ratio * (seen[0] + 0.5) / n[0])
+    both = np.maximum(1, seen.sum(0))
+    share, usual = seen[1] / both, n[1] / (n[0] + n[1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        odd = both * (np.where(share > 0, share * np.log(share / usual), 0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - usual)), 0))
+    toxic = (odd >= np.log(max(1, n_cues) / chance)) & (seen[1] / n[1] >= ratio * (seen[0] + 0.5) / n[0])
     return np.bincount(owner, toxic[flat], len(vocab)) > 0
 
 
@@ -218,16 +230,16 @@ def remainder(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def train(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Field:
-    """Fits the field on labelled rows outside the held-out third, ``per_class`` of either label at most.
+def train(documents: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Field:
+    """Fits the field on labelled rows outside the held-out third, at most ``sample`` clean and toxic ones.
 
     Rows are taken in the order of a hash of their id, so the sample is the same at every run.
     Null labels, null ids and null texts are left out; of a repeated id each row counts.
     """
     use = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (remainder(F.col("doc_id")) != 1)).select("doc_id", F.col("toxic").alias("y"))
-    picked = [use.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    picked = [use.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[y]) for y in (0, 1)]
     chosen = picked[0].unionByName(picked[1])
-    # At most twice per_class ids, of 16 bytes each.
+    # A few thousand ids of 16 bytes each, as the sample is bounded.
     text = F.substring(F.col("text"), 1, SAMPLE_BYTES).alias("t")
     rows = documents.where(F.col("text").isNotNull()).select("doc_id", text).join(F.broadcast(chosen), "doc_id").collect()
     rows.sort(key=lambda r: (r.doc_id, r.y, r.t))
@@ -260,8 +272,9 @@ def score(df: DataFrame, field: Field, threshold: float = 0.7) -> DataFrame:
                     found = [{"start": at[k][0], "end": at[k][1], "p": float(m[k])} for k in hits] if len(at) == m.size else []
                 spans.append(found)
             yield pa.RecordBatch.from_arrays([big.column(0), pa.array(own.score(p), pa.float64()), pa.array(spans, span)], ["doc_id", "score", "spans"])
+        own.known.clear()
 
-    scored = df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int,p:double>>")
+    scored = df.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, score double, spans array<struct<start:int,end:int,p:double>>")
     return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
 
 
@@ -282,6 +295,8 @@ def reject(df: DataFrame, field: Field, threshold: float = 0.7) -> DataFrame:
             if t is not ...:
                 part.append(own.emissions((t or "").split()))
                 held += part[-1].nbytes
+        if len(own.known) > CACHE // 2:
+            own.known.clear()
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     return df.where(scored("text") < threshold)
