@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,13 +39,12 @@ def components(edges: DataFrame, held: Scratch, in_driver: int = IN_DRIVER) -> D
     minimum of a node's neighbours is a partially aggregated ``min``, so a node with a third
     of all edges is no single task's work. Null ids and loops are left out.
     """
-    spark = edges.sparkSession
-    edges = held.write(edges.where("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct(), "edges-0")
+    spark, name = edges.sparkSession, f"edges-{uuid.uuid4().hex[:8]}"
+    edges = held.write(edges.where("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct(), f"{name}-0")
     if edges.count() <= in_driver:
         got = edges.toArrow()
+        held.drop(f"{name}-0")
         ids, root = forest(got["u"].to_numpy(), got["v"].to_numpy())
-        import pyarrow as pa
-
         return spark.createDataFrame(pa.table({"id": pa.array(ids, pa.int64()), "component_id": pa.array(root, pa.int64())}))
     mark, k = None, 0
     while True:
@@ -50,12 +52,12 @@ def components(edges: DataFrame, held: Scratch, in_driver: int = IN_DRIVER) -> D
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         k += 1
-        large = held.write(large, f"edges-{k}")
+        large = held.write(large, f"{name}-{k}")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         k += 1
-        edges = held.write(small, f"edges-{k}")
-        held.drop(f"edges-{k - 1}", f"edges-{k - 2}")
+        edges = held.write(small, f"{name}-{k}")
+        held.drop(f"{name}-{k - 1}", f"{name}-{k - 2}")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_intdigest
 
-from .common import Scratch, slices
+from .common import Scratch, bitmap, has_bits, lean, slices
 from .graph import components
 
 EDITS, PER_EDIT = 2, 20
@@ -26,6 +26,8 @@ EDITS, PER_EDIT = 2, 20
 #: first held against one of them, and then across the components that are left.
 AT_ONCE = 64
 BITS = 1 << 23
+#: Bytes of text taken at once in a Python worker.
+SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
 _U = np.uint64
@@ -220,29 +222,23 @@ def _met(sorted_rows: DataFrame) -> DataFrame:
             if out is not None:
                 yield out
 
-    return sorted_rows.mapInArrow(run, "key long, a long, b long")
+    return sorted_rows.mapInArrow(lean(run), "key long, a long, b long")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, edits: int, per_edit: int) -> DataFrame:
     """The pairs (a, b) of line ids whose texts are within the edits they may be apart."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    place = F.pmod(F.shiftright("id", 1), F.lit(BITS)) + 1
-    rows = wanted.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
-    bits = np.zeros(BITS, bool)  # 1 MB when packed, however many lines
-    for r in rows:
-        bits[(r.k - 1) * 32768 : r.k * 32768] = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.shiftright("id", 1).alias("id")), "id", BITS))
 
     def texts(batches):
-        wanted = np.unpackbits(shared.value).astype(bool)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             own = list({x for t in batch.column(0).to_pylist() for x in _lines(t)})
             h, _ = ids(own)
-            some = np.flatnonzero(wanted[(h >> 1) % BITS])
+            some = np.flatnonzero(has_bits(shared.value, h >> 1, BITS))
             yield pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array([own[i] for i in some], pa.string())], ["id", "line"])
 
     # Two texts of one id (a collision) both stay, and either may confirm a pair.
-    held = docs.select("text").mapInArrow(texts, "id long, line string").distinct()
+    held = docs.select("text").mapInArrow(lean(texts), "id long, line string").distinct()
     both = pairs.join(held.select(F.col("id").alias("a"), F.col("line").alias("s")), "a").join(held.select(F.col("id").alias("b"), F.col("line").alias("t")), "b")
 
     def run(batches):
@@ -250,21 +246,21 @@ def _confirm(pairs: DataFrame, docs: DataFrame, edits: int, per_edit: int) -> Da
             keep = [i for i, (s, t) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())) if (k := allowed(len(s), len(t), edits, per_edit)) and within(s, t, k)]
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "s", "t").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def links(docs: DataFrame, held: Scratch, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
     """(u, v) between ids of distinct lines that are near each other, enough of them to join what is connected."""
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             own = sorted({x for t in batch.column(0).to_pylist() for x in _lines(t) if len(x) >= per_edit})
             if own:
                 key, who = keys(own, ids(own)[0], edits)
                 for s in range(0, key.size, 50_000):
                     yield pa.RecordBatch.from_arrays([pa.array(key[s : s + 50_000]), pa.array(who[s : s + 50_000])], ["key", "id"])
 
-    rows = docs.select("text").mapInArrow(run, "key long, id long")
+    rows = docs.select("text").mapInArrow(lean(run), "key long, id long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = held.write(_met(rows.repartition(parts, "key").sortWithinPartitions("key", "id")), "met")
     first = held.write(met.where("key is null").select("a", "b").distinct(), "pairs-1")
@@ -277,7 +273,9 @@ def links(docs: DataFrame, held: Scratch, edits: int = EDITS, per_edit: int = PE
     right = placed.select("key", F.col("a").alias("q"), F.col("c").alias("cq"), F.col("index").alias("iq"))
     across = left.join(right, "key").where("cp <> cq and ip + iq > 0 and (cq = main or p < q)").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
     second = held.write(across.join(first, ["a", "b"], "left_anti"), "pairs-2")
-    return near.unionByName(held.write(_confirm(second, docs, edits, per_edit), "near-2")).toDF("u", "v")
+    more = held.write(_confirm(second, docs, edits, per_edit), "near-2")
+    held.drop("met", "pairs-1", "placed", "pairs-2")
+    return near.unionByName(more).toDF("u", "v")
 
 
 def _decisions(docs: DataFrame, held: Scratch, edits: int, per_edit: int) -> DataFrame:
@@ -287,7 +285,7 @@ def _decisions(docs: DataFrame, held: Scratch, edits: int, per_edit: int) -> Dat
     """
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             doc, own = [], []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = _lines(t)
@@ -296,7 +294,7 @@ def _decisions(docs: DataFrame, held: Scratch, edits: int, per_edit: int) -> Dat
             h, g = ids(own)
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(h), pa.array(g)], ["doc_id", "id", "other"])
 
-    lines = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, id long, other long")
+    lines = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, id long, other long")
     per_doc = held.write(lines.groupBy("id", "other", "doc_id").agg(F.count("*").alias("n")), "lines")
     classes = per_doc.groupBy("id", "other").agg(F.min("doc_id").alias("first"), F.sum("n").alias("n"))
     known = components(links(docs, held, edits, per_edit), held)
@@ -343,6 +341,7 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -
     held = Scratch(docs.sparkSession, "lines")
     docs = docs.drop("n_removed")
     found = held.write(_decisions(docs, held, edits, per_edit), "found")
+    held.drop("lines", "placed-lines", "near-1", "near-2")
 
     @F.pandas_udf("text string, n_removed long")
     def clean(text: pd.Series, found: pd.Series) -> pd.DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import Scratch, bitmap, encoded, has_bits, slices
+from .common import Scratch, bitmap, encoded, has_bits, lean, slices
 from .graph import components
 
 HALF, WIDTH = 9, 2
@@ -61,7 +61,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n, digest, sig): size of the shingle set, its digest, its minhashes; null for an empty set."""
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             n, digest, flat = [], [], []
             for data in encoded(batch.column(1)):
                 own = shingles(data)
@@ -70,7 +70,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 flat.append(signature(own).view(np.int32).tolist() if own.size else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(flat, pa.list_(pa.int32()))], ["doc_id", "n", "digest", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, sig array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n long, digest binary, sig array<int>")
 
 
 def table_keys(sig: np.ndarray) -> np.ndarray:
@@ -100,7 +100,7 @@ def _keyed(reps: DataFrame, among: DataFrame | None = None) -> DataFrame:
                     key, who = key[some], who[some]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(who)], ["key", "rep"])
 
-    return reps.select("rep", "sig").mapInArrow(run, "key long, rep long")
+    return reps.select("rep", "sig").mapInArrow(lean(run), "key long, rep long")
 
 
 def _screen(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -119,12 +119,12 @@ def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(ids, "id", BITS))
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             doc = batch.column(0).to_numpy(zero_copy_only=False)
             batch = batch.take(pa.array(np.flatnonzero(has_bits(shared.value, doc, BITS))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x).tobytes() for x in encoded(batch.column(1))], pa.binary())], ["doc_id", "own"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, own binary")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, own binary")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -147,7 +147,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                     keep.append(i)
             yield batch.select(["x", "y"]).take(pa.array(keep, pa.int64()))
 
-    return both.select("x", "y", "a", "b").mapInArrow(run, "x long, y long")
+    return both.select("x", "y", "a", "b").mapInArrow(lean(run), "x long, y long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -186,6 +186,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     across = left.join(right, "key").where("cp <> cq and (cq = main or p < q)").select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
     second = held.write(_screen(across.join(first, ["x", "y"], "left_anti"), reps), "pairs-2")
     more = held.write(_confirm(second, docs, percent), "links-2")
+    held.drop("buckets", "members", "pairs-1", "placed", "pairs-2")
     parts = components(links.unionByName(more).toDF("u", "v"), held)
     rep_of = classes.select("digest", "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("c"))
     rows = signed.select("doc_id", "n", "digest")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lean
 from .graph import components, forest
 
 #: Vectors of a block, about.
@@ -43,7 +43,7 @@ def _valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                 dims.append(v.size if good else 0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), pa.array(dims, pa.int32())], ["id", "raw", "dim"])
 
-    return df.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(run, "id long, raw binary, dim int")
+    return df.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(lean(run), "id long, raw binary, dim int")
 
 
 def choose(sample: np.ndarray, k: int) -> np.ndarray:
@@ -123,7 +123,7 @@ def _range_join(classes: DataFrame, held: Scratch, dim: int, n: int, cosine: flo
             cell = d.argmin(1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell]), pa.array(list(d))], ["rep", "raw", "n", "cell", "r", "d"])
 
-    homes = held.write(classes.select("rep", "raw", "n").mapInArrow(home, "rep long, raw binary, n long, cell int, r double, d array<double>"), f"homes-{dim}")
+    homes = held.write(classes.select("rep", "raw", "n").mapInArrow(lean(home), "rep long, raw binary, n long, cell int, r double, d array<double>"), f"homes-{dim}")
     stats = {r.cell: r for r in homes.groupBy("cell").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.count("*").alias("n")).collect()}  # a row a pivot
     low, high = (np.array([getattr(stats[c], x) if c in stats else np.nan for c in range(len(pivot))]) for x in ("low", "high"))
 
@@ -143,7 +143,7 @@ def _range_join(classes: DataFrame, held: Scratch, dim: int, n: int, cosine: flo
                 total += visits(np.stack([np.asarray(x) for x in b.column(1).to_pylist()]), b.column(0).to_numpy()).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pivot)), pa.int32()), pa.array(total)], ["cell", "n"])
 
-    guests = {r.cell: r.n for r in homes.select("cell", "d").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+    guests = {r.cell: r.n for r in homes.select("cell", "d").mapInArrow(lean(count), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
     own_blocks = np.array([-(-stats[c].n // block) if c in stats else 0 for c in range(len(pivot))])
     guest_blocks = np.array([-(-guests.get(c, 0) // block) for c in range(len(pivot))])
 
@@ -171,7 +171,7 @@ def _range_join(classes: DataFrame, held: Scratch, dim: int, n: int, cosine: flo
                 e = min(len(who), s + 20_000)
                 yield pa.RecordBatch.from_arrays([pa.array(where[s:e], pa.int32()), pa.array(left[s:e], pa.int32()), pa.array(right[s:e], pa.int32()), pa.array(side[s:e], pa.int32()), *[b.column(c).take(at[s:e]) for c in (0, 1, 2)]], ["cell", "left", "right", "side", "rep", "raw", "n"])
 
-    dealt = homes.mapInArrow(deal, "cell int, left int, right int, side int, rep long, raw binary, n long")
+    dealt = homes.mapInArrow(lean(deal), "cell int, left int, right int, side int, rep long, raw binary, n long")
 
     def join(table: pa.Table) -> pa.Table:
         side, rep, n = table["side"].to_numpy(), table["rep"].to_numpy(), table["n"].to_numpy().astype(np.float64)
@@ -185,4 +185,6 @@ def _range_join(classes: DataFrame, held: Scratch, dim: int, n: int, cosine: flo
         v = pa.concat_arrays([pa.nulls(some.size + other.size, pa.int64()), pa.array(root, pa.int64())])
         return pa.table({"u": pa.array(u, pa.int64()), "v": v, "links": pa.array(links, pa.int64())})
 
-    return held.write(dealt.groupBy("cell", "left", "right").applyInArrow(join, "u long, v long, links long"), f"links-{dim}")
+    out = held.write(dealt.groupBy("cell", "left", "right").applyInArrow(join, "u long, v long, links long"), f"links-{dim}")
+    held.drop(f"homes-{dim}")
+    return out
