@@ -21,8 +21,8 @@ from .common import lean, slices
 
 #: Labelled documents, clean and toxic, from which the model is fitted, at most.
 SAMPLE = (2500, 1000)
-#: Bytes of text of a sampled document that are read, at most; only for fitting.
-SAMPLE_BYTES = 20_000
+#: Characters of a sampled document that are read, at most; only for fitting.
+SAMPLE_SIZE = 10_000
 BUCKETS = 1 << 18
 #: Words kept with their potentials within a task.
 CACHE = 300_000
@@ -240,7 +240,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAM
     picked = [use.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[y]) for y in (0, 1)]
     chosen = picked[0].unionByName(picked[1])
     # A few thousand ids of 16 bytes each, as the sample is bounded.
-    text = F.substring(F.col("text"), 1, SAMPLE_BYTES).alias("t")
+    text = F.substring(F.col("text"), 1, SAMPLE_SIZE).alias("t")
     rows = documents.where(F.col("text").isNotNull()).select("doc_id", text).join(F.broadcast(chosen), "doc_id").collect()
     rows.sort(key=lambda r: (r.doc_id, r.y, r.t))
     return fit([r.t for r in rows], [int(r.y) for r in rows])
