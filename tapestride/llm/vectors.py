@@ -121,9 +121,9 @@ def _range_join(classes: DataFrame, held: Scratch, dim: int, n: int, cosine: flo
                 continue
             d = _distances(_units(b.column(1).to_pylist(), dim), p)
             cell = d.argmin(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell]), pa.array(list(d))], ["rep", "raw", "n", "cell", "r", "d"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell])], ["rep", "raw", "n", "cell", "r"])
 
-    homes = held.write(classes.select("rep", "raw", "n").mapInArrow(lean(home), "rep long, raw binary, n long, cell int, r double, d array<double>"), f"homes-{dim}")
+    homes = held.write(classes.select("rep", "raw", "n").mapInArrow(lean(home), "rep long, raw binary, n long, cell int, r double"), f"homes-{dim}")
     stats = {r.cell: r for r in homes.groupBy("cell").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.count("*").alias("n")).collect()}  # a row a pivot
     low, high = (np.array([getattr(stats[c], x) if c in stats else np.nan for c in range(len(pivot))]) for x in ("low", "high"))
 
@@ -140,10 +140,10 @@ def _range_join(classes: DataFrame, held: Scratch, dim: int, n: int, cosine: flo
         total = np.zeros(len(pivot), np.int64)
         for b in batches:
             if b.num_rows:
-                total += visits(np.stack([np.asarray(x) for x in b.column(1).to_pylist()]), b.column(0).to_numpy()).sum(0)
+                total += visits(_distances(_units(b.column(1).to_pylist(), dim), shared.value), b.column(0).to_numpy()).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pivot)), pa.int32()), pa.array(total)], ["cell", "n"])
 
-    guests = {r.cell: r.n for r in homes.select("cell", "d").mapInArrow(lean(count), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+    guests = {r.cell: r.n for r in homes.select("cell", "raw").mapInArrow(lean(count), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
     own_blocks = np.array([-(-stats[c].n // block) if c in stats else 0 for c in range(len(pivot))])
     guest_blocks = np.array([-(-guests.get(c, 0) // block) for c in range(len(pivot))])
 
@@ -155,7 +155,7 @@ def _range_join(classes: DataFrame, held: Scratch, dim: int, n: int, cosine: flo
             cell, rep = b.column(3).to_numpy(), b.column(0).to_numpy()
             mixed = rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
             who, where, left, right, side = [], [], [], [], []
-            see = visits(np.stack([np.asarray(x) for x in b.column(5).to_pylist()]), cell)
+            see = visits(_distances(_units(b.column(1).to_pylist(), dim), shared.value), cell)
             for i, c in enumerate(cell.tolist()):
                 nb, ng = int(own_blocks[c]), int(guest_blocks[c])
                 mine = int(mixed[i]) % nb
