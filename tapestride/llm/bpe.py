@@ -29,7 +29,8 @@ SHORT = 48
 #: Parts of texts kept with their ids in each Python worker. Beyond it, and when a task ends,
 #: only the first are kept: what is met early is what is met often.
 CACHE, KEPT = 700_000, 400_000
-_NONE = np.uint32(0xFFFFFFFF)
+#: The rank of a pair that is no merge; with a place of six bits beside it, it fits 32 bits.
+_NONE = np.uint32(1 << 25)
 _LOADED: dict[str, "Codec"] = {}
 
 
@@ -67,6 +68,8 @@ class Codec:
         pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["model"]["merges"]]
         self._table([(vocab[a], vocab[b]) for a, b in pairs], [vocab[a + b] for a, b in pairs])
         self.ranks = {(vocab[a] << 20) | vocab[b]: i for i, (a, b) in reversed(list(enumerate(pairs)))}
+        every = np.arange(1 << 16)
+        self.first = self.rank(self.byte_id[every >> 8], self.byte_id[every & 255])  # by two bytes
         self.known: dict[str, bytes] = {}
 
     def _table(self, pairs: list[tuple[int, int]], merged: list[int]) -> None:
@@ -96,48 +99,46 @@ class Codec:
         return out
 
     def _rows(self, words: list[bytes]) -> list[bytes]:
-        """Ids, as little-endian bytes, of words of one length; the matrix form of the scan."""
+        """Ids, as little-endian bytes, of words of one length; the matrix form of the scan.
+
+        A column holds a word's parts, another its ranks. Each step takes one boundary from
+        every word that still has a rank, so the words under way are always equally long.
+        """
         n, width = len(words), len(words[0])
-        part = self.byte_id[np.frombuffer(b"".join(words), np.uint8)].reshape(n, width)
-        if width == 1:
-            raw = part.astype("<u4").tobytes()
-            return [raw[4 * i : 4 * i + 4] for i in range(n)]
-        ranks = self.rank(part[:, :-1].ravel(), part[:, 1:].ravel()).reshape(n, width - 1)
-        done_part, done_len = np.zeros((n, width), np.uint32), np.zeros(n, np.int64)
-        who, length = np.arange(n), np.full(n, width)
-        cols = np.arange(width)
-        while who.size:
-            at = ranks.argmin(1)
-            rows = np.arange(who.size)
-            best = ranks[rows, at]
-            over = best == _NONE
+        raw = np.frombuffer(b"".join(words), np.uint8).reshape(n, width)
+        part = np.ascontiguousarray(self.byte_id[raw].T)
+        ranks = np.ascontiguousarray(self.first[raw[:, :-1].astype(np.int64) << 8 | raw[:, 1:]].T)
+        done, sizes, who = np.zeros((n, width), "<u4"), np.full(n, width), np.arange(n)
+        place = np.arange(width, dtype=np.uint32)[:, None]
+        for size in range(width, 0, -1):
+            if size > 1:
+                least = (ranks << np.uint32(6) | place[: size - 1]).min(0)
+                best, at = least >> np.uint32(6), (least & np.uint32(63)).astype(np.int64)
+                over = best == _NONE
+            else:
+                over = np.ones(who.size, bool)
             if over.any():
-                done_part[who[over], : part.shape[1]] = part[over]
-                done_len[who[over]] = length[over]
-                keep = ~over
-                who, part, ranks, length, at, best = who[keep], part[keep], ranks[keep], length[keep], at[keep], best[keep]
-                if not who.size:
+                done[who[over], :size] = part[:, over].T
+                sizes[who[over]] = size
+                go = np.flatnonzero(~over)
+                if not go.size:
                     break
-                rows = np.arange(who.size)
-            part[rows, at] = self.merged[best]
-            # Delete the boundary: what stands right of it moves one place left.
-            moved = cols[None, : part.shape[1] - 1] > at[:, None]
-            part = np.concatenate([np.where(moved, part[:, 1:], part[:, :-1]), part[:, -1:]], 1)[:, : part.shape[1]]
-            if ranks.shape[1] > 1:
-                shifted = cols[None, : ranks.shape[1] - 1] >= at[:, None]
-                ranks = np.concatenate([np.where(shifted, ranks[:, 1:], ranks[:, :-1]), np.full((who.size, 1), _NONE)], 1)
-            else:
-                ranks = np.full_like(ranks, _NONE)
-            length = length - 1
-            part, ranks = part[:, : int(length.max())], ranks[:, : max(1, int(length.max()) - 1)]
+                who, part, ranks, best, at = who[go], part[:, go], ranks[:, go], best[go], at[go]
+            columns = np.arange(who.size)
+            part[at, columns] = self.merged[best]
+            # Delete the boundary: what stands right of it moves one place up.
+            part = np.where(place[: size - 1] > at, part[1:], part[:-1])
+            ranks = np.where(place[: size - 2] >= at, ranks[1:], ranks[:-1])
             left = np.flatnonzero(at > 0)
             if left.size:
-                ranks[left, at[left] - 1] = self.rank(part[left, at[left] - 1], part[left, at[left]])
-            right = np.flatnonzero(at + 1 < length)
+                k = at[left]
+                ranks[k - 1, left] = self.rank(part[k - 1, left], part[k, left])
+            right = np.flatnonzero(at + 1 < size - 1)
             if right.size:
-                ranks[right, at[right]] = self.rank(part[right, at[right]], part[right, at[right] + 1])
-        raw, stride = done_part.astype("<u4").tobytes(), 4 * width
-        return [raw[stride * i : stride * i + 4 * int(k)] for i, k in enumerate(done_len)]
+                k = at[right]
+                ranks[k, right] = self.rank(part[k, right], part[k + 1, right])
+        flat, stride = done.tobytes(), 4 * width
+        return [flat[stride * i : stride * i + 4 * k] for i, k in enumerate(sizes.tolist())]
 
     def _long(self, word: bytes) -> bytes:
         """The same merges for a long word, from a heap of (rank, place) over a linked list."""
@@ -187,14 +188,15 @@ class Codec:
                 words.add(c)
             elif bare[-1:] in (".", ",") and bare[:-1].isalpha():
                 tailed.append(c)
-                words.add(c[:-1])
+                if c[:1] != " " or c[1:-1] not in self.known:
+                    words.add(c[:-1])
             else:
                 mixed[c] = own = self.PATTERN.findall(c)
                 words.update(own)
         out = self.words(words)
         if tailed:
             ends = {x: self.byte_id[ord(x)].astype("<u4").tobytes() for x in ".,"}
-            out.update([(c, out[c[:-1]] + ends[c[-1]]) for c in tailed])
+            out.update([(c, (out[c[:-1]] if c[:-1] in out else self.known[c[1:-1]]) + ends[c[-1]]) for c in tailed])
         for c, own in mixed.items():
             out[c] = b"".join([out[w] for w in own])
         return out
