@@ -21,8 +21,6 @@ from .common import lean, slices
 
 #: Labelled documents, clean and toxic, from which the model is fitted, at most.
 SAMPLE = (2500, 1000)
-#: Characters of a sampled document that are read, at most; only for fitting.
-SAMPLE_SIZE = 10_000
 BUCKETS = 1 << 18
 #: Words kept with their potentials within a task.
 CACHE = 300_000
@@ -234,14 +232,14 @@ def train(documents: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAM
     """Fits the field on labelled rows outside the held-out third, at most ``sample`` clean and toxic ones.
 
     Rows are taken in the order of a hash of their id, so the sample is the same at every run.
+    Their texts are read whole, as those that are scored.
     Null labels, null ids and null texts are left out; of a repeated id each row counts.
     """
     use = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (remainder(F.col("doc_id")) != 1)).select("doc_id", F.col("toxic").alias("y"))
     picked = [use.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[y]) for y in (0, 1)]
     chosen = picked[0].unionByName(picked[1])
     # A few thousand ids of 16 bytes each, as the sample is bounded.
-    text = F.substring(F.col("text"), 1, SAMPLE_SIZE).alias("t")
-    rows = documents.where(F.col("text").isNotNull()).select("doc_id", text).join(F.broadcast(chosen), "doc_id").collect()
+    rows = documents.where(F.col("text").isNotNull()).select("doc_id", F.col("text").alias("t")).join(F.broadcast(chosen), "doc_id").collect()
     rows.sort(key=lambda r: (r.doc_id, r.y, r.t))
     return fit([r.t for r in rows], [int(r.y) for r in rows])
 

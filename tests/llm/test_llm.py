@@ -246,6 +246,16 @@ def test_toxicity_odd_inputs(spark, docs, none):
     assert spans[1].predicted == 0 and spans[1].spans == []
 
 
+def test_toxicity_far_passage(spark):
+    rng = random.Random(8)
+    rows = [(i, f"{prose(rng, 1800)} {'idiot' if i % 2 else 'calm'} {prose(rng, 20)}") for i in range(120)]
+    assert all(min(t.find("idiot") % (1 << 30), t.find("calm") % (1 << 30)) > 10_000 for _, t in rows)
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    field = toxicity.train(texts, spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int"))
+    out = toxicity.score(texts, field).collect()
+    assert all(r.predicted == r.doc_id % 2 and len(r.spans) == r.doc_id % 2 for r in out)
+
+
 # --- 5 ---------------------------------------------------------------------------------------
 
 PAGES = [(1, "http://a/\nb", "x" * 1000), (2, None, "x" * 1000), (3, "u", "x" * 999), (4, "u", "x" * 999), (5, "u", None), (6, "u", ""), (None, "u", "x" * 1000), (7, "u", "é" * 500_000), (2, "again", "x" * 1000)]
