@@ -67,10 +67,11 @@ class Field:
                     got[i] = known[t]
         return np.array(got, np.float64)
 
-    def marginals(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
+    def marginals(self, emissions: list[np.ndarray], expected: np.ndarray | None = None) -> list[np.ndarray]:
         """Probability of state 1 at each token of every sequence, by forward-backward over odds.
 
         Sequences are stepped side by side, longest first, so that a step is a few NumPy calls.
+        The expected number of each of the four transitions is added to ``expected``, if given.
         """
         out = [np.zeros(0)] * len(emissions)
         order = sorted((i for i, e in enumerate(emissions) if e.size), key=lambda i: -emissions[i].size)
@@ -99,6 +100,14 @@ class Field:
             k, a = alive[t + 1], starts[t]
             b = e[starts[t + 1] : starts[t + 1] + k] * backward[starts[t + 1] : starts[t + 1] + k]
             np.divide(c10 + c11 * b, c00 + c01 * b, out=backward[a : a + k])
+        if expected is not None:
+            before = np.repeat(alive[:-1], alive[1:])  # how far back the token before a token lies
+            for at in range(0, before.size, 1 << 18):
+                back = before[at : at + (1 << 18)]
+                now = np.arange(at, at + back.size) + alive[0]
+                f, b = forward[now - back], e[now] * backward[now]
+                part = np.stack([np.full(now.size, c00), c01 * b, c10 * f, c11 * f * b])
+                expected += (part / part.sum(0)).sum(1).reshape(2, 2)
         odds = forward * backward
         p = (odds / (1 + odds))[place]
         ends = np.cumsum(lengths)
@@ -199,15 +208,15 @@ def fit(texts: list[str], labels: list[int], rounds: int = 60, rate: float = 0.5
     inner = np.ones(where.size, bool)
     inner[[0, *[e for e in ends[:-1] if e < where.size]]] = False  # tokens that follow another
     pair = np.flatnonzero(inner)
+    seen_t = np.bincount((2 * y[pair - 1] + y[pair]).astype(np.int64), minlength=4).reshape(2, 2)
     square, square_t = np.full(BUCKETS, 1e-8), np.full((2, 2), 1e-8)
     for _ in range(rounds):
         e = np.bincount(owner, field.weights[flat], len(vocab))
-        p = np.concatenate(field.marginals([e[i] for i in ids]))
+        expected = np.zeros((2, 2))
+        p = np.concatenate(field.marginals([e[i] for i in ids], expected))
         push = np.bincount(where, y - p, len(vocab)) / max(1.0, y.sum())
         grad = np.bincount(flat, push[owner], BUCKETS) - ridge * field.weights
-        # Expected transitions are approximated by the product of neighbouring marginals.
-        a, b, ya, yb = p[pair - 1], p[pair], y[pair - 1], y[pair]
-        grad_t = np.array([[((1 - ya) * (1 - yb) - (1 - a) * (1 - b)).sum(), ((1 - ya) * yb - (1 - a) * b).sum()], [(ya * (1 - yb) - a * (1 - b)).sum(), (ya * yb - a * b).sum()]]) / max(1.0, y.sum()) - ridge * field.transitions
+        grad_t = (seen_t - expected) / max(1.0, y.sum()) - ridge * field.transitions
         square, square_t = square + grad**2, square_t + grad_t**2
         field.weights += rate * grad / np.sqrt(square)
         field.transitions += 0.2 * rate * grad_t / np.sqrt(square_t)

@@ -222,6 +222,24 @@ def test_marginals():
         assert np.allclose(p, on / total)
 
 
+def test_expected_transitions():
+    field = toxicity.Field()
+    field.transitions = np.array([[0.3, -0.9], [-0.7, 0.6]])
+    rng = np.random.default_rng(5)
+    seqs = [rng.normal(size=n) for n in (0, 3, 1, 2, 7, 5)]
+    want, got = np.zeros((2, 2)), np.zeros((2, 2))
+    for e in seqs:
+        total, part = 0.0, np.zeros((2, 2))
+        for y in itertools.product((0, 1), repeat=e.size):
+            w = np.exp(sum(e[i] for i in range(e.size) if y[i]) + sum(field.transitions[a, b] for a, b in zip(y, y[1:])))
+            total += w
+            for a, b in zip(y, y[1:]):
+                part[a, b] += w
+        want += part / total
+    field.marginals(seqs, got)
+    assert np.allclose(got, want)
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     out = entry.op4_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out and toxic is not null").toPandas()
