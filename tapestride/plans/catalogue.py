@@ -58,9 +58,9 @@ _MARKUP = r"""m AS (SELECT coalesce(url, '') AS title, CASE WHEN page_id % 5 = 0
     concat_ws(' ', repeat(chr(39), 3) || 'page' || repeat(chr(39), 3), array_to_string([regexp_replace(a, '<a href="/?([^"]*)">([^<]*)</a>', '[[\1|\2]]') FOR a IN regexp_extract_all(coalesce(html, ''), '<a href="[^"]*">[^<]*</a>')], ' ')) AS source FROM pages)"""
 
 
-def _dump(spark: SparkSession, sf: str) -> DataFrame:
+def _dump(spark: SparkSession, sf: str, main: bool = False) -> DataFrame:
     at = f"{_shared(spark)}/dump-{uuid.uuid4().hex[:12]}"
-    sample.write_dump(table(spark, sf, "pages"), at)
+    sample.write_dump(table(spark, sf, "pages"), at, main)
     return dump.read_dump(spark, at)
 
 
@@ -71,12 +71,12 @@ def xml_pages(spark, sf):
 
 @query()
 def wikitext_links(spark, sf):
-    return dump.links(dump.parse(dump.articles(_dump(spark, sf)))).select("source", "pos", "surface", "surface_repr", "destination")
+    return dump.links(dump.parse(dump.articles(_dump(spark, sf, main=True)))).select("source", "pos", "surface", "surface_repr", "destination")
 
 
 @query()
 def wikitext_link_tokens(spark, sf):
-    found = dump.link_tokens(dump.parse(dump.articles(_dump(spark, sf))))
+    found = dump.link_tokens(dump.parse(dump.articles(_dump(spark, sf, main=True))))
     return found.select("title", "surface", "destination", "token", F.array_join(F.transform("words", lambda w: w.word), " ").alias("words"))
 
 

@@ -15,18 +15,21 @@ def escaped(text):
     return text
 
 
-def markup(pages: DataFrame) -> DataFrame:
-    """(title, ns, redirect, source): anchors become wiki links; a url with a query redirects to the one without."""
+def markup(pages: DataFrame, main: bool = False) -> DataFrame:
+    """(title, ns, redirect, source): anchors become wiki links; a url with a query redirects to the one without.
+
+    Every fifth page is of namespace 1, or none if ``main``.
+    """
     found = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(ANCHOR), F.lit(1))
     links = F.transform(found, lambda a: F.regexp_replace(a, '<a href="/?([^"]*)">([^<]*)</a>', "[[$1|$2]]"))
     url = F.coalesce("url", F.lit(""))
-    return pages.select(url.alias("title"), F.when(F.col("page_id") % 5 == 0, 1).otherwise(0).alias("ns"), F.when(F.contains(url, F.lit("?")), F.split_part(url, F.lit("?"), F.lit(1))).alias("redirect"), F.concat_ws(" ", F.lit("'''page'''"), F.array_join(links, " ")).alias("source"))
+    return pages.select(url.alias("title"), (F.lit(0) if main else F.when(F.col("page_id") % 5 == 0, 1).otherwise(0)).alias("ns"), F.when(F.contains(url, F.lit("?")), F.split_part(url, F.lit("?"), F.lit(1))).alias("redirect"), F.concat_ws(" ", F.lit("'''page'''"), F.array_join(links, " ")).alias("source"))
 
 
-def write_dump(pages: DataFrame, at: str) -> None:
+def write_dump(pages: DataFrame, at: str, main: bool = False) -> None:
     redirect = F.when(F.col("redirect").isNotNull(), F.concat(F.lit('<redirect title="'), escaped("redirect"), F.lit('" />'))).otherwise(F.lit(""))
     page = F.concat(F.lit("<page><title>"), escaped("title"), F.lit("</title><ns>"), F.col("ns").cast("string"), F.lit("</ns>"), redirect, F.lit('<revision><text xml:space="preserve">'), escaped("source"), F.lit("</text></revision></page>"))
-    markup(pages).select(page.alias("value")).mapInArrow(_rooted, "value string").write.mode("overwrite").text(at)
+    markup(pages, main).select(page.alias("value")).mapInArrow(_rooted, "value string").write.mode("overwrite").text(at)
 
 
 def _rooted(batches):

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tapestride.plans import catalogue
 from tapestride.sources import dump, tables
 
 XML = """<mediawiki><page><title>A</title><ns>0</ns><revision><text xml:space="preserve">x [[B|bee]] &amp; [[C]]</text></revision></page>
@@ -18,6 +19,15 @@ def test_dump(spark, tmp_path):
     assert sorted((r.title, r.surface, r.token) for r in dump.link_tokens(parsed).where("title = 'A'").collect()) == [("A", "C", 3), ("A", "bee", 1)]
 
 
+def test_links_of_every_page(spark):
+    sf = "/root/testdata/sf0.001"
+    want = {r.title for r in dump.links(dump.parse(catalogue.xml_pages(spark, sf))).select(F.col("source").alias("title")).distinct().collect()}
+    fifth = {r.url for r in spark.read.parquet(f"{sf}/pages.parquet").where("page_id % 5 = 0").collect()}
+    assert want & fifth
+    assert {r.source for r in catalogue.wikitext_links(spark, sf).collect()} == want
+    assert {r.title for r in catalogue.wikitext_link_tokens(spark, sf).collect()} == want
+
+
 def test_tsv(spark, tmp_path):
     at = str(tmp_path / "t")
     tables.write_tsv(spark.createDataFrame([("a", "A", "1"), ("b", "B", "x")], "s string, t string, n string"), at)
