@@ -26,6 +26,9 @@ class TiffError(ValueError):
     """The bytes are no TIFF file, or of a kind that is not read here."""
 
 
+_BROKEN = (TiffError, struct.error, zlib.error, IndexError, KeyError, ValueError, ZeroDivisionError)
+
+
 def packbits_encode(data: bytes) -> bytes:
     out, i, n = bytearray(), 0, len(data)
     while i < n:
@@ -181,25 +184,40 @@ def _values(data: bytes, order: str, kind: int, count: int, at: int) -> list[int
 
 def read(data: bytes) -> list[dict]:
     """Every page as width, height, samples per pixel, compression, predictor and decoded bytes."""
+    pages = read_each(data)
+    for page in pages:
+        if "error" in page:
+            raise TiffError(page["error"])
+    return pages
+
+
+def read_each(data: bytes) -> list[dict]:
+    """As ``read``, but a page that can't be decoded is its number and ``error``, and a broken chain of
+    directories ends the list with an ``error`` without number."""
+    out = []
     order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
     try:
         if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
             raise TiffError("no TIFF header")
-        at, seen, out = struct.unpack_from(order + "I", data, 4)[0], set(), []
+        at, seen = struct.unpack_from(order + "I", data, 4)[0], set()
         while at:
             if at in seen:
                 raise TiffError("the directories form a ring")
             seen.add(at)
             (n,) = struct.unpack_from(order + "H", data, at)
-            tags = {}
-            for i in range(n):
-                tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
-                tags[tag] = _values(data, order, kind, count, at + 10 + 12 * i)
-            out.append(_page(data, tags))
-            (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
-        return out
-    except (struct.error, zlib.error, IndexError, KeyError) as e:
-        raise TiffError(str(e)) from e
+            (link,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
+            try:
+                tags = {}
+                for i in range(n):
+                    tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
+                    tags[tag] = _values(data, order, kind, count, at + 10 + 12 * i)
+                out.append({"page": len(out), **_page(data, tags)})
+            except _BROKEN as e:
+                out.append({"page": len(out), "error": str(e) or type(e).__name__})
+            at = link
+    except _BROKEN as e:
+        out.append({"error": str(e)})
+    return out
 
 
 def _page(data: bytes, tags: dict[int, list[int]]) -> dict:
@@ -239,8 +257,8 @@ def _page(data: bytes, tags: dict[int, list[int]]) -> dict:
 def decode_pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """One row per page of every TIFF: its number, shape, storage and decoded ``pixels``.
 
-    A null, empty or unreadable file gives one row with page null and ``error`` saying why;
-    so no input row is lost. Only the two named columns are read.
+    A null, empty or unreadable file gives one row with page null and ``error`` saying why, a page
+    that can't be decoded one with its number and ``error``; so no input row and no page is lost. Only the two named columns are read.
     """
     kind = df.schema[id_col].dataType.simpleString()
     schema = pa.schema([("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("pixels", pa.binary()), ("error", pa.string())])
@@ -250,10 +268,7 @@ def decode_pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
             for batch in slices(iter([whole]), "__media"):
                 who, rows = [], []
                 for i, data in enumerate(batch.column(1).to_pylist()):
-                    try:
-                        found = [{"page": k, **p} for k, p in enumerate(read(data or b""))] or [{"error": "no pages"}]
-                    except TiffError as e:
-                        found = [{"error": str(e)}]
+                    found = read_each(data or b"") or [{"error": "no pages"}]
                     who += [i] * len(found)
                     rows += found
                 columns = [pa.array([r.get(f.name) for r in rows], f.type) for f in schema]

@@ -423,6 +423,17 @@ def test_media(spark, docs, none):
     assert {bytes(r.media)[:2] for r in media.store(docs).collect()} == {b"II"}
 
 
+def test_media_damaged_page(spark):
+    pages = [b"a" * 64, b"b" * 128, b"c" * 192]
+    data = bytearray(media.write(pages, compression=media.DEFLATE))
+    at = data.index(media._PACK[media.DEFLATE](b"b" + bytes(63) + b"b" + bytes(63)))
+    data[at : at + 4] = b"\0\0\0\0"
+    got = sorted(media.decode_pages(spark.createDataFrame([(1, bytes(data))], "id long, media binary"), "id", "media").collect(), key=lambda r: r.page)
+    assert [(r.page, r.pixels and bytes(r.pixels), r.error is None) for r in got] == [(0, pages[0], True), (1, None, False), (2, pages[2], True)]
+    with pytest.raises(media.TiffError):
+        media.read(bytes(data))
+
+
 # --- 10 --------------------------------------------------------------------------------------
 
 
