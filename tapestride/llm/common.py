@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch on its way to Python.
+BATCH = 8 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
@@ -42,7 +46,15 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        """Writes and rereads a table. While it is written, Arrow batches hold 8 MB, not 64: they lie in
+        buffers outside the JVM's heap and once more in Python, in each running task."""
+        conf, key = self.spark.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+        before = conf.get(key)
+        conf.set(key, str(BATCH))
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -93,11 +105,26 @@ def encoded(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def bitmap(ids: DataFrame, name: str, bits: int) -> np.ndarray:
-    """A fixed number of bits, packed, with those of a long column's values set.
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with underscores added until no column of ``df`` has it, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
-    It has ``bits / 8`` bytes however many rows there are; with very many it lets all pass.
-    """
+
+def bits_for(n: int) -> int:
+    """Bits of a bitmap of n values: 16 for each up to 8 million, so that 6 % of others pass; 2 ** 27 (16 MB)
+    at most, with which more and more others pass. What passes is always joined exactly afterwards."""
+    return min(1 << 27, max(1 << 20, 1 << (16 * n - 1).bit_length())) if n else 1 << 20
+
+
+def bitmap(ids: DataFrame, name: str, bits: int) -> np.ndarray:
+    """A number of bits, packed, with those of a long column's values set; a task sends them merged."""
     place = F.pmod(F.col(name), F.lit(bits)) + 1
     rows = ids.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("own")).collect()
     out = np.zeros(bits // 8, np.uint8)

@@ -1,11 +1,13 @@
 """Removal of repeated byte strings by a hash-compared suffix sort.
 
 Every 200-byte string that occurs twice shows, wherever it occurs, the same smallest-hashed
-100-byte gram. So the starts of a text are cut into runs that share a gram; runs whose whole
-text recurs are settled by counting, and runs whose gram is found nowhere else as well. The
-suffixes at all other starts (those near the ends of repeats) are mergesorted: prefix
-polynomial hashes and a binary search give the common extension of two suffixes and with it
-their order, and neighbours that agree over the whole length are verified byte by byte.
+100-byte gram. So the starts of a text are cut into runs that share a gram, and runs whose
+gram is found nowhere else are done with. Of all others each distinct text goes once, with
+its multiplicity, into a mergesort of the suffixes at its starts: prefix polynomial hashes and
+a binary search give the common extension of two suffixes and with it their order, and
+neighbours that agree over the whole length are verified byte by byte. What the sort finds in
+a text holds for all its occurrences. A gram with very many different texts around it is split
+by longer grams, and its parts are sorted in the same way.
 """
 
 from __future__ import annotations
@@ -13,18 +15,19 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import Scratch, bitmap, encoded, has_bits, lean, slices
+from .common import Scratch, bitmap, bits_for, encoded, has_bits, lean, slices, unused
 
 LENGTH, GRAM = 200, 100
-#: Runs of one gram beyond which their windows are counted in Spark, not sorted in one task.
-HOT = 4096
-BITS = 1 << 25
+#: Distinct texts around one gram that are sorted in one task (about 1 MB); more are split by grams
+#: of ``STEP`` bytes more, at last by whole 200-byte strings, around each of which there is one text.
+HOT, STEP = 4096, 50
+#: Bytes of text taken at once in a Python worker.
+SLICE = 1 << 20
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(5).integers(0, 2**64 - 1, 256, np.uint64)
@@ -134,8 +137,9 @@ def runs(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarra
     return least[first].view(np.int64), whole.view(np.int64), first, last
 
 
-def repeated_starts(texts: list[bytes], grams: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> list[np.ndarray]:
-    """For each run's text: which of its starts have their ``length`` bytes at another start of a run with the same gram."""
+def repeated_starts(texts: list[bytes], grams: np.ndarray, times: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> list[np.ndarray]:
+    """For each run's text, found ``times`` times: which of its starts have their ``length`` bytes at another
+    start of a run with the same gram. One place in the sort stands for all occurrences of a text."""
     data = b"".join(texts)
     own = Prefix(data)
     size = np.array([len(t) for t in texts])
@@ -149,8 +153,7 @@ def repeated_starts(texts: list[bytes], grams: np.ndarray, length: int = LENGTH,
     offset = hits[np.minimum(np.searchsorted(hits, starts), hits.size - 1)] - starts  # of the gram in each string
     order = np.lexsort((offset, number[owner]))
     key = number[owner][order] * (length + 1) + offset[order]
-    starts_in = starts[order]
-    done = mergesort(own, starts_in, key, length)
+    done = mergesort(own, starts[order], key, length)
     same = np.flatnonzero((key[1:] == key[:-1]) & (own.extension(done[:-1], done[1:], length) == length)) if done.size > 1 else np.zeros(0, np.int64)
     step = np.arange(length)
     sure = np.ones(same.size, bool)
@@ -158,92 +161,122 @@ def repeated_starts(texts: list[bytes], grams: np.ndarray, length: int = LENGTH,
         a, b = done[same[s : s + 20_000]], done[same[s : s + 20_000] + 1]
         sure[s : s + 20_000] = (own.bytes[a[:, None] + step] == own.bytes[b[:, None] + step]).all(1)
     same = same[sure]
+    many = np.repeat(times > 1, size)
     flag = np.zeros(len(data), bool)
+    flag[done[many[done]]] = True
     flag[done[same]] = True
     flag[done[same + 1]] = True
     return [flag[b : b + k] for b, k in zip(base.tolist(), n.tolist())]
 
 
 def _pair(a: np.ndarray, b) -> np.ndarray:
-    """One hash of two, for ``bitmap``."""
+    """One hash of two."""
     x = (a.view(_U) ^ (np.asarray(b, np.int64).view(_U) * _U(_BASE))) * _U(0xD6E8FEB86659FD93)
     return (x ^ (x >> _U(31))).view(np.int64)
 
 
+def _checked(low, high):
+    """The text of a class; two texts that share both hashes of its key are an error, not a guess."""
+    return F.when(low == high, low).otherwise(F.raise_error(F.lit("two runs share a key")).cast("binary"))
+
+
+def _sorted(items: DataFrame, held: Scratch, hot: int, gram: int = GRAM) -> DataFrame:
+    """(gram, whole, s, e): ranges of repeated starts in the texts of ``items`` (gram, whole, n, k, text),
+    where n counts a text's occurrences and k the texts of its gram."""
+    whole_strings = gram == LENGTH
+
+    def sort(batches):
+        rows, size = [], 0
+
+        def flush():
+            out = [[], [], [], []]
+            flags = repeated_starts([r[3] for r in rows], np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows]), LENGTH, gram) if rows else []
+            for (g, w, _, _), flag in zip(rows, flags):
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], flag.view(np.int8), [0]])))
+                for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                    for column, value in zip(out, (g, w, s, e - 1)):
+                        column.append(value)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["gram", "whole", "s", "e"])
+
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if size > 400_000 and row[0] != rows[-1][0]:
+                    yield flush()
+                    rows, size = [], 0
+                rows.append(row)
+                size += len(row[3])
+        yield flush()
+
+    parts = int(held.spark.conf.get("spark.sql.shuffle.partitions"))
+    cool = items if whole_strings else items.where(F.col("k") <= hot)
+    out = cool.select("gram", "whole", "n", "text").repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(lean(sort), "gram long, whole long, s long, e long")
+    rest = items.where(F.col("k") > hot)
+    if whole_strings or rest.isEmpty():
+        return out
+    longer = min(LENGTH, gram + STEP)
+
+    def split(batches):
+        for batch in batches:
+            up, out = [[], [], []], [[], [], [], []]
+            for g, w, n, x in zip(*[c.to_pylist() for c in batch.columns]):
+                grams, wholes, a, b = runs(x, LENGTH, longer)
+                for column, value in zip(up, (g, w, n)):
+                    column += [value] * a.size
+                for column, values in zip(out, (grams.tolist(), wholes.tolist(), a.tolist(), [x[p : q + LENGTH] for p, q in zip(a.tolist(), b.tolist())])):
+                    column += values
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in (*up, *out[:3])], pa.array(out[3], pa.binary())], ["up_gram", "up_whole", "n", "gram", "whole", "a", "text"])
+
+    cuts = held.write(rest.select("gram", "whole", "n", "text").mapInArrow(lean(split), "up_gram long, up_whole long, n long, gram long, whole long, a long, text binary"), f"cuts-{longer}")
+    classes = cuts.groupBy("gram", "whole").agg(F.sum("n").alias("n"), _checked(F.min("text"), F.max("text")).alias("text"))
+    classes = held.write(classes, f"parts-{longer}")
+    inner = _sorted(classes.join(classes.groupBy("gram").agg(F.count("*").alias("k")), "gram"), held, hot, longer)
+    back = cuts.drop("text", "n").join(inner, ["gram", "whole"])
+    return out.unionByName(back.select(F.col("up_gram").alias("gram"), F.col("up_whole").alias("whole"), (F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e")).alias("e")))
+
+
 def _ranges(docs: DataFrame, held: Scratch, hot: int) -> DataFrame:
     """(row_key, a, b): ranges of repeated starts in each text; ``docs`` has row_key and text."""
     spark = docs.sparkSession
 
     def listed(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             key, parts = batch.column(0).to_numpy(), [runs(x) for x in encoded(batch.column(1))]
-            n = [p[0].size for p in parts]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[0] for p in parts])), pa.array(np.concatenate([p[1] for p in parts])), pa.array(np.repeat(key, n))], ["gram", "whole", "row_key"])
-
-    all_runs = docs.mapInArrow(lean(listed), "gram long, whole long, row_key long")
-    classes = held.write(all_runs.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min("row_key").alias("rep")), "classes")
+            gram, whole, first = (np.concatenate([p[k] for p in parts]) for k in range(3))
+            place = _pair(first, np.repeat(key, [p[0].size for p in parts]))
+            for s in range(0, gram.size, 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[s : s + 50_000]) for c in (gram, whole, place)], ["gram", "whole", "place"])
+
+    # A run's text is known by two hashes of different kinds, its gram's and its own, 128 bits in all; the
+    # texts at the least and the greatest place (a hash of row and start) are fetched and must agree.
+    all_runs = docs.mapInArrow(lean(listed), "gram long, whole long, place long")
+    classes = held.write(all_runs.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min("place").alias("low"), F.max("place").alias("high")), "classes")
     met = classes.groupBy("gram").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where("total > 1").select("gram", "k")
     known = held.write(classes.join(met, "gram"), "known")
     held.drop("classes")
-    full = known.where("n > 1").select("gram", "whole")
-    open_ = known.where("k > 1").select("gram", "whole", "n", "rep", "k")
-    paired = F.pandas_udf(lambda w, r: pd.Series(_pair(w.to_numpy(), r.to_numpy())), "long")
-    shared = spark.sparkContext.broadcast((bitmap(full, "whole", BITS), bitmap(open_.select(paired("whole", "rep").alias("id")), "id", BITS)))  # 8 MB at any size
+    bits = bits_for(known.count())
+    ends = known.select(F.col("low").alias("place")).unionByName(known.where("low <> high").select(F.col("high").alias("place")))
+    shared = spark.sparkContext.broadcast((bitmap(known, "whole", bits), bitmap(ends, "place", bits)))
 
     def found(batches):
-        bits, pairs = shared.value
-        for batch in slices(batches, "text"):
-            out = [[], [], [], [], [], []]
+        of_texts, of_places = shared.value
+        for batch in slices(batches, "text", SLICE):
+            columns, texts = [], []
             for key, x in zip(batch.column(0).to_pylist(), encoded(batch.column(1))):
                 gram, whole, a, b = runs(x)
-                plain = has_bits(bits, whole, BITS)
-                text = has_bits(pairs, _pair(whole, np.full(whole.size, key)), BITS)
-                for i in np.flatnonzero(plain | text).tolist():
-                    for column, value in zip(out, (gram[i], whole[i], key, a[i], b[i], x[a[i] : b[i] + LENGTH] if text[i] else None)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:5]], pa.array(out[5], pa.binary())], ["gram", "whole", "row_key", "a", "b", "text"])
-
-    marked = held.write(docs.mapInArrow(lean(found), "gram long, whole long, row_key long, a long, b long, text binary"), "marked")
-    whole_runs = marked.drop("text").join(full, ["gram", "whole"]).select("row_key", "a", "b")
-    edges = marked.where("text is not null").join(open_.withColumnRenamed("rep", "row_key"), ["gram", "whole", "row_key"]).dropDuplicates(["gram", "whole"])
-    edges = held.write(edges.select("gram", "row_key", "a", "b", "text", "n", "k"), "edges")
-
-    def sort(batches):
-        held_rows, size = [], 0
-
-        def flush(rows):
-            if not rows:
-                return None
-            flags = repeated_starts([r[4] for r in rows], np.array([r[0] for r in rows], np.int64))
-            out = [[], [], []]
-            for (_, key, a, _b, _t, n), flag in zip(rows, flags):
-                if n == 1 and flag.any():
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], flag.view(np.int8), [0]])))
-                    for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                        for column, value in zip(out, (key, a + s, a + e - 1)):
-                            column.append(value)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["row_key", "a", "b"])
-
-        for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if size > 400_000 and row[0] != held_rows[-1][0]:
-                    yield flush(held_rows)
-                    held_rows, size = [], 0
-                held_rows.append(row)
-                size += len(row[4])
-        last = flush(held_rows)
-        if last is not None:
-            yield last
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cool = edges.where(F.col("k") <= hot).select("gram", "row_key", "a", "b", "text", "n").repartition(parts, "gram").sortWithinPartitions("gram")
-    sorted_ = cool.mapInArrow(lean(sort), "row_key long, a long, b long")
-    # A gram of very many different surroundings: its windows become rows, counted with partial sums.
-    windows = edges.where(F.col("k") > hot).select("gram", "row_key", "n", "text", "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - F.col("a"))).alias("i"))
-    windows = windows.select("gram", "row_key", "n", (F.col("a") + F.col("i")).alias("a"), F.sha2(F.expr(f"substring(text, cast(i as int) + 1, {LENGTH})"), 256).alias("h"))
-    twice = windows.groupBy("gram", "h").agg(F.count("*").alias("c")).where("c > 1").select("gram", "h")
-    counted = windows.where("n = 1").join(twice, ["gram", "h"]).select("row_key", "a", F.col("a").alias("b"))
-    return whole_runs.unionByName(sorted_).unionByName(counted)
+                some = np.flatnonzero(has_bits(of_texts, whole, bits))
+                gram, whole, a, b = gram[some], whole[some], a[some], b[some]
+                place = _pair(a, np.full(a.size, key))
+                columns.append((gram, whole, place, np.full(a.size, key), a))
+                fetch = has_bits(of_places, place, bits).tolist()
+                texts += [x[p : q + LENGTH] if f else None for p, q, f in zip(a.tolist(), b.tolist(), fetch)]
+            names = ["gram", "whole", "place", "row_key", "a"]
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate([c[k] for c in columns])) for k in range(5)], pa.array(texts, pa.binary())], [*names, "text"])
+
+    marked = held.write(docs.mapInArrow(lean(found), "gram long, whole long, place long, row_key long, a long, text binary"), "marked")
+    fetched = marked.where("text is not null").select("gram", "whole", "place", "text").join(known, ["gram", "whole"]).where("place = low or place = high")
+    items = fetched.groupBy("gram", "whole").agg(F.first("n").alias("n"), F.first("k").alias("k"), _checked(F.min("text"), F.max("text")).alias("text"))
+    flags = _sorted(held.write(items, "items"), held, hot)
+    return marked.select("gram", "whole", "row_key", "a").join(flags, ["gram", "whole"]).select("row_key", (F.col("a") + F.col("s")).alias("a"), (F.col("a") + F.col("e")).alias("b"))
 
 
 def cut(data: bytes, ranges) -> tuple[bytes, int, int]:
@@ -265,38 +298,49 @@ def cut(data: bytes, ranges) -> tuple[bytes, int, int]:
     return b"".join(kept), gone, spans
 
 
-def _joined(docs: DataFrame, hot: int) -> DataFrame:
-    """``docs`` with a column ``__ranges`` of the starts to remove in each text, or null."""
+def _joined(docs: DataFrame, hot: int) -> tuple[DataFrame, str]:
+    """``docs`` with one more column of the ranges of starts to remove in each text, or null, and its name."""
     held = Scratch(docs.sparkSession, "suffixes")
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    found = _ranges(keyed.select(F.col("__key").alias("row_key"), "text"), held, hot)
-    ranges = held.write(found.groupBy("row_key").agg(F.collect_set(F.struct("a", "b")).alias("__ranges")), "ranges")
-    held.drop("known", "marked", "edges")
-    return keyed.join(ranges, F.col("__key") == F.col("row_key"), "left").drop("__key", "row_key")
+    key, other, name = unused(docs, "row_key", "range_key", "ranges")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = _ranges(keyed.select(F.col(key).alias("row_key"), "text"), held, hot)
+    ranges = held.write(found.groupBy(F.col("row_key").alias(other)).agg(F.collect_set(F.struct("a", "b")).alias(name)), "ranges")
+    held.drop("known", "marked", "items", *[f"{x}-{n}" for n in range(GRAM + STEP, LENGTH + 1, STEP) for x in ("cuts", "parts")])
+    return keyed.join(ranges, F.col(key) == F.col(other), "left").drop(key, other), name
 
 
 def deduplicate(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """All columns of ``docs`` with ``text`` cut: every byte goes that a 200-byte string covers which also starts elsewhere.
 
     Texts are UTF-8 bytes; overlaps count and all occurrences go, judged on the input. What is
-    left of a character cut through goes as well. A null text stays null and holds nothing, one
-    under 200 bytes stays whole; rows that repeat (with their doc_id or without) hold each
-    other's text, so their texts go. Other columns pass through, whatever their names.
+    left of a character cut through goes as well. A null text stays null and holds nothing, an
+    empty one or one under 200 bytes stays whole; rows that repeat (with their doc_id or without,
+    null ids among them) hold each other's text, so their texts go. Very long texts are cut like
+    others, and there are no ties to break, as every occurrence goes. An empty table gives no
+    rows. Other columns pass through, whatever their names.
     """
+    joined, name = _joined(docs, hot)
 
-    @F.pandas_udf("string")
-    def rest(text: pd.Series, ranges: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or r is None else cut(t.encode(), r)[0].decode("utf-8", "ignore") for t, r in zip(text, ranges)], dtype=object)
+    @F.arrow_udf("string")
+    def rest(text: pa.Array, ranges: pa.Array) -> pa.Array:
+        out = []
+        for part in slices(iter([pa.RecordBatch.from_arrays([text, ranges], ["text", "ranges"])]), "text", SLICE):
+            for t, r in zip(part.column(0), part.column(1)):
+                out.append(t.as_py() if not r.is_valid or not t.is_valid else cut(t.as_py().encode(), r.as_py())[0].decode("utf-8", "ignore"))
+        return pa.array(out, pa.string())
 
-    joined = _joined(docs, hot)
-    return joined.select(*[F.when(F.col("__ranges").isNull(), F.col("text")).otherwise(rest("text", "__ranges")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return joined.select(*[F.when(F.col(name).isNull(), F.col("text")).otherwise(rest("text", name)).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def digests(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """Per document: bytes, removed bytes, maximal removed runs and the digest of the rest; null text: empty."""
+    """Per row: bytes, removed bytes, maximal removed runs and the digest of the rest.
+
+    A null text is empty; a null doc_id stays null and repeated rows stay repeated. Only
+    ``doc_id`` and ``text`` are read, so other columns cannot clash; an empty table gives no rows.
+    """
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "text", SLICE):
             rows = []
             for x, ranges in zip(encoded(batch.column(1)), batch.column(2).to_pylist()):
                 rest, gone, spans = cut(x, ranges)
@@ -304,5 +348,5 @@ def digests(docs: DataFrame, hot: int = HOT) -> DataFrame:
             columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = _joined(docs.select(F.col("doc_id").cast("long"), "text"), hot)
-    return joined.select("doc_id", "text", "__ranges").mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined, name = _joined(docs.select(F.col("doc_id").cast("long"), "text"), hot)
+    return joined.select("doc_id", "text", name).mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
