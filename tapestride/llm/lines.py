@@ -12,25 +12,26 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_intdigest
 
-from .common import Scratch, bitmap, has_bits, lean, slices
+from .common import Scratch, bitmap, bits_for, has_bits, lean, slices, unused
 from .graph import components
 
 EDITS, PER_EDIT = 2, 20
 #: Pairs of a bucket that are held against each other at once; members of larger buckets are
 #: first held against one of them, and then across the components that are left.
 AT_ONCE = 64
-BITS = 1 << 23
+#: Distinct rows of a bucket that are held; one with more is dealt with row by row.
+HELD = 200_000
 #: Bytes of text taken at once in a Python worker.
 SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
 _U = np.uint64
+_INDEX, _ID = np.int64(-(1 << 63)), np.int64((1 << 63) - 1)
 
 
 def allowed(a: int, b: int, edits: int = EDITS, per_edit: int = PER_EDIT) -> int:
@@ -98,9 +99,9 @@ def _banded(a: str, b: str, k: int) -> bool:
 
 
 def ids(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each line; the first has its lowest bit clear."""
+    """Two hashes of each line, of 63 and 64 bits."""
     h = [xxh3_128_intdigest(x.encode("utf-8", "replace")) for x in lines]
-    high = np.fromiter((x >> 64 for x in h), _U, len(h)) & _U(2**64 - 2)
+    high = np.fromiter((x >> 65 for x in h), _U, len(h))
     return high.view(np.int64), np.fromiter((x & (2**64 - 1) for x in h), _U, len(h)).view(np.int64)
 
 
@@ -143,18 +144,18 @@ class _Hashes:
 
 
 def keys(lines: list[str], h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, id) rows of the index (id even) and of the probes (id odd) of distinct lines."""
+    """(key, id) rows of distinct lines: of the index with the id's sign bit set, so that they sort first, and of the probes."""
     own = _Hashes(lines)
     out_key, out_id = [], []
 
     def put(rows, start, size, length, i, side):
         tag = _mix((length.astype(_U) << _U(8)) + _U(i + 1))
         out_key.append(_mix(own.of(rows, start, size) ^ tag).view(np.int64))
-        out_id.append(h[rows] | side)
+        out_id.append(h[rows] | np.int64(side))
 
     rows = np.arange(len(lines))
     for i, (start, size) in enumerate(segments(own.length, k)):
-        put(rows, start, size, own.length, i, 0)
+        put(rows, start, size, own.length, i, _INDEX)
     for shift in range(k + 1):
         rows = np.flatnonzero(own.length - shift >= k + 1)
         length = own.length[rows] - shift
@@ -163,7 +164,7 @@ def keys(lines: list[str], h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
             high = np.minimum(np.minimum(start + i, start + shift + (k - i)), own.length[rows] - size)
             for step in range(int((high - low).max()) + 1 if rows.size else 0):
                 some = low + step <= high
-                put(rows[some], (low + step)[some], size[some], length[some], i, 1)
+                put(rows[some], (low + step)[some], size[some], length[some], i, 0)
     return np.concatenate(out_key), np.concatenate(out_id)
 
 
@@ -171,18 +172,33 @@ def _lines(text: str | None) -> list[str]:
     return [x for x in text.split("\n") if x and not x.isspace()] if text else []
 
 
-def _met(sorted_rows: DataFrame) -> DataFrame:
-    """Buckets of rows sorted by key and id: pairs (key null) of small ones, members of large ones."""
+def _met(sorted_rows: DataFrame, most: int = HELD) -> DataFrame:
+    """Buckets of rows sorted by key and id: pairs (key null) of small ones, members of large ones.
+
+    A bucket is held up to ``most`` distinct rows. Of a larger one, whatever its size, each row is
+    given out as it comes: as a member, and as a pair with the first of the index, which sorts first.
+    """
+
+    def large(key: int, pivot: int, own: np.ndarray):
+        members, probe = own & _ID, own[own >= 0]
+        probe = probe[probe != pivot]
+        a = np.concatenate([members, np.minimum(pivot, probe)])
+        b = np.concatenate([(own < 0).astype(np.int64), np.maximum(pivot, probe)])
+        bucket = np.full(a.size, key)
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64(), mask=np.arange(a.size) >= own.size), pa.array(a), pa.array(b)], ["key", "a", "b"])
 
     def flush(key: np.ndarray, who: np.ndarray):
         cut = np.flatnonzero(np.diff(key)) + 1
         starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [key.size]])
-        some = np.flatnonzero((who[starts] >> 1) != (who[ends - 1] >> 1))
+        # There is nothing to meet without an index (first) and a probe (last) of another line, or with one row of either.
+        some = np.flatnonzero((who[starts] < 0) & (who[ends - 1] >= 0))
         a, b, bucket, role = [], [], [], []
         for s, e in zip(starts[some].tolist(), ends[some].tolist()):
-            own = np.unique(who[s:e])
-            index, probe = own[own & 1 == 0], own[own & 1 == 1] ^ 1
-            if not index.size or not probe.size:
+            own = who[s:e]
+            own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+            n = int(np.searchsorted(own, 0))
+            index, probe = own[:n] & _ID, own[n:]
+            if index.size == 1 and probe.size == 1 and index[0] == probe[0]:
                 continue
             if index.size * probe.size <= AT_ONCE:
                 x, y = np.repeat(index, probe.size), np.tile(probe, index.size)
@@ -204,19 +220,41 @@ def _met(sorted_rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(bucket), pa.int64(), mask=~big), pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["key", "a", "b"])
 
     def run(batches):
-        held_k, held_w = [], []
+        held_k, held_w, held, open_ = [], [], 0, None  # open_: key and pivot of the bucket that is given out as it comes
         for batch in batches:
             if not batch.num_rows:
                 continue
             k, w = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if open_ is not None:
+                end = int(np.searchsorted(k, open_[0], "right")) if k[0] == open_[0] else 0
+                if end and open_[1] is not None:
+                    yield large(*open_, np.unique(w[:end]))
+                k, w = k[end:], w[end:]
+                if not k.size:
+                    continue
+                open_ = None
             cut = int(np.searchsorted(k, k[-1], "left"))  # the last bucket may go on
             if cut:
                 out = flush(np.concatenate([*held_k, k[:cut]]), np.concatenate([*held_w, w[:cut]]))
-                held_k, held_w = [], []
+                held_k, held_w, held = [], [], 0
+                if out is not None:
+                    yield out
+            elif held_k and held_k[-1][0] != k[-1]:
+                out = flush(np.concatenate(held_k), np.concatenate(held_w))
+                held_k, held_w, held = [], [], 0
                 if out is not None:
                     yield out
             held_k.append(k[cut:])
             held_w.append(w[cut:])
+            held += k.size - cut
+            if held > most:
+                own = np.unique(np.concatenate(held_w))
+                held_k, held_w, held = [np.full(own.size, k[-1])], [own], own.size
+                if held > most // 2:
+                    open_ = (int(k[-1]), int(own[0] & _ID) if own[0] < 0 else None)
+                    if open_[1] is not None:
+                        yield large(*open_, own)
+                    held_k, held_w, held = [], [], 0
         if held_k:
             out = flush(np.concatenate(held_k), np.concatenate(held_w))
             if out is not None:
@@ -228,13 +266,14 @@ def _met(sorted_rows: DataFrame) -> DataFrame:
 def _confirm(pairs: DataFrame, docs: DataFrame, edits: int, per_edit: int) -> DataFrame:
     """The pairs (a, b) of line ids whose texts are within the edits they may be apart."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.shiftright("id", 1).alias("id")), "id", BITS))
+    bits = bits_for(2 * pairs.count())
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "id", bits))
 
     def texts(batches):
         for batch in slices(batches, "text", SLICE):
             own = list({x for t in batch.column(0).to_pylist() for x in _lines(t)})
             h, _ = ids(own)
-            some = np.flatnonzero(has_bits(shared.value, h >> 1, BITS))
+            some = np.flatnonzero(has_bits(shared.value, h, bits))
             yield pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array([own[i] for i in some], pa.string())], ["id", "line"])
 
     # Two texts of one id (a collision) both stay, and either may confirm a pair.
@@ -297,7 +336,8 @@ def _decisions(docs: DataFrame, held: Scratch, edits: int, per_edit: int) -> Dat
     lines = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, id long, other long")
     per_doc = held.write(lines.groupBy("id", "other", "doc_id").agg(F.count("*").alias("n")), "lines")
     classes = per_doc.groupBy("id", "other").agg(F.min("doc_id").alias("first"), F.sum("n").alias("n"))
-    known = components(links(docs, held, edits, per_edit), held)
+    # Documents without id take no part, not even as a link between two others.
+    known = components(links(docs.where("doc_id is not null"), held, edits, per_edit), held)
     placed = classes.join(known, "id", "left").where("n > 1 or component_id is not null")
     # A class without links is a component of its own, told apart from others by both hashes.
     placed = held.write(placed.select("id", "other", "first", F.coalesce("component_id", F.xxhash64("id", "other")).alias("component"), F.col("component_id").isNotNull().alias("joined")), "placed-lines")
@@ -334,27 +374,37 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -
     through chains. Of each set of near lines the first stays: that of the smallest doc_id,
     there the uppermost; all others go, whatever document they are in. Blank lines stay. Null
     texts stay null, empty ones empty; no document is dropped, though one may lose all its
-    lines. A document with a null doc_id is left as it is and does not count; rows that repeat
-    an id each keep their uppermost line. Columns other than doc_id and text pass through;
-    a column n_removed of the input is replaced.
+    lines. A document with a null doc_id is left as it is and does not count, nor do its lines
+    link others; rows that repeat an id each keep their uppermost line. Very long texts and lines
+    are read whole. An empty table gives no rows. Columns other than doc_id and text pass
+    through, whatever their names; a column n_removed of the input is replaced.
     """
     held = Scratch(docs.sparkSession, "lines")
     docs = docs.drop("n_removed")
     found = held.write(_decisions(docs, held, edits, per_edit), "found")
     held.drop("lines", "placed-lines", "near-1", "near-2")
 
-    @F.pandas_udf("text string, n_removed long")
-    def clean(text: pd.Series, found: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([dedup_text(t, f) for t, f in zip(text, found)], columns=["text", "n_removed"])
+    @F.arrow_udf("text string, n_removed long")
+    def clean(text: pa.Array, found: pa.Array) -> pa.Array:
+        rest, gone = [], []
+        for part in slices(iter([pa.RecordBatch.from_arrays([text, found], ["text", "found"])]), "text", SLICE):
+            for t, f in zip(part.column(0), part.column(1)):
+                t, n = dedup_text(t.as_py(), f.as_py())
+                rest.append(t)
+                gone.append(n)
+        return pa.StructArray.from_arrays([pa.array(rest, pa.string()), pa.array(gone, pa.int64())], names=["text", "n_removed"])
 
-    name = "__found"
-    joined = docs.join(found.select(F.col("doc_id").alias("__doc"), F.col("found").alias(name)), F.col("doc_id") == F.col("__doc"), "left")
-    cleaned = joined.withColumn("__new", F.when(F.col(name).isNull(), F.struct("text", F.lit(0).cast("long").alias("n_removed"))).otherwise(clean("text", name)))
-    return cleaned.select(*[F.col("__new.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col("__new.n_removed").alias("n_removed"))
+    doc, name, new = unused(docs, "found_in", "found_lines", "new_text")
+    joined = docs.join(found.select(F.col("doc_id").alias(doc), F.col("found").alias(name)), F.col("doc_id") == F.col(doc), "left")
+    cleaned = joined.withColumn(new, F.when(F.col(name).isNull(), F.struct("text", F.lit(0).cast("long").alias("n_removed"))).otherwise(clean("text", name)))
+    return cleaned.select(*[F.col(f"{new}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col(f"{new}.n_removed").alias("n_removed"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Per document: lines, removed lines and the digest of the text that is left (null text: of an empty one)."""
+    """Per row: lines, removed lines and the digest of the text that is left (null text: of an empty one).
+
+    Nulls, repeated rows and empty tables are as in ``deduplicate``; other columns are not read.
+    """
     count = lambda c: F.size(F.filter(F.split(F.coalesce(c, F.lit("")), "\n", -1), lambda x: F.length(x) > 0))
     out = deduplicate(docs.select("doc_id", "text").withColumn("n_lines", count(F.col("text")).cast("long")))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

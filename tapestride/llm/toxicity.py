@@ -8,11 +8,10 @@ offending spans and, through a logistic curve, a score for the document.
 
 from __future__ import annotations
 
-import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +24,6 @@ BUCKETS = 1 << 18
 #: Words kept with their potentials within a task.
 CACHE = 300_000
 _EDGE = ".,;:!?\"'()[]{}<>«»„“”‘’¿¡…-–—*_/\\"
-_WORD = re.compile(r"\S+")
 
 
 def features(token: str) -> list[int]:
@@ -242,13 +240,14 @@ def train(documents: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAM
 
     Rows are taken in the order of a hash of their id, so the sample is the same at every run.
     Their texts are read whole, as those that are scored.
-    Null labels, null ids and null texts are left out; of a repeated id each row counts.
+    Null labels, null ids and null texts are left out; of a repeated id each row counts, but
+    there are never more rows than the sample has in all.
     """
     use = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (remainder(F.col("doc_id")) != 1)).select("doc_id", F.col("toxic").alias("y"))
     picked = [use.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[y]) for y in (0, 1)]
     chosen = picked[0].unionByName(picked[1])
     # A few thousand ids of 16 bytes each, as the sample is bounded.
-    rows = documents.where(F.col("text").isNotNull()).select("doc_id", F.col("text").alias("t")).join(F.broadcast(chosen), "doc_id").collect()
+    rows = documents.where(F.col("text").isNotNull()).select("doc_id", F.col("text").alias("t")).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("t"), "y").limit(sum(sample)).collect()
     rows.sort(key=lambda r: (r.doc_id, r.y, r.t))
     return fit([r.t for r in rows], [int(r.y) for r in rows])
 
@@ -275,8 +274,12 @@ def score(df: DataFrame, field: Field, threshold: float = 0.7) -> DataFrame:
                 hits = np.flatnonzero(m >= 0.5)
                 found = []
                 if hits.size:
-                    at = [x.span() for x in _WORD.finditer(column[i].as_py())]
-                    found = [{"start": at[k][0], "end": at[k][1], "p": float(m[k])} for k in hits] if len(at) == m.size else []
+                    text, at, wanted = column[i].as_py(), 0, set(hits.tolist())
+                    for k, token in enumerate(text.split()):
+                        at = text.index(token, at)
+                        if k in wanted:
+                            found.append({"start": at, "end": at + len(token), "p": float(m[k])})
+                        at += len(token)
                 spans.append(found)
             yield pa.RecordBatch.from_arrays([big.column(0), pa.array(own.score(p), pa.float64()), pa.array(spans, span)], ["doc_id", "score", "spans"])
         own.known.clear()
@@ -288,22 +291,20 @@ def score(df: DataFrame, field: Field, threshold: float = 0.7) -> DataFrame:
 def reject(df: DataFrame, field: Field, threshold: float = 0.7) -> DataFrame:
     """The rows of ``df``, all columns as they are, whose text scores below ``threshold``.
 
-    Null and empty texts score as texts without toxic tokens. No row is moved or shuffled.
+    Null and empty texts score as texts without toxic tokens; very long ones are scored whole.
+    Rows that repeat go or stay together, ids are not looked at, and an empty table gives no
+    rows. No row is moved or shuffled.
     """
     shared = df.sparkSession.sparkContext.broadcast(field)
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        own, out, part, held = shared.value, [], [], 0
-        for t in [*texts, ...]:
-            if part and (t is ... or held > 8 << 20):  # emissions of about 32 MB of text at once
-                out.append(own.score(own.marginals(part)))
-                part, held = [], 0
-            if t is not ...:
-                part.append(own.emissions((t or "").split()))
-                held += part[-1].nbytes
-        if len(own.known) > CACHE // 2:
-            own.known.clear()
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = shared.value
+        for texts in batches:
+            out = [np.zeros(0)]
+            for part in slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text", 8 << 20):
+                out.append(own.score(own.marginals([own.emissions((t.as_py() or "").split()) for t in part.column(0)])))
+            yield pa.array(np.concatenate(out))
+        own.known.clear()
 
     return df.where(scored("text") < threshold)

@@ -37,8 +37,10 @@ def _valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
             out, dims = [], []
             for x in b.column(1):
                 v = None if not x.is_valid else x.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                with np.errstate(over="ignore"):
-                    good = v is not None and v.size and np.isfinite(v).all() and np.isfinite(s := (v * v).sum()) and s > 0
+                good = v is not None and v.size and np.isfinite(v).all() and v.any()
+                with np.errstate(over="ignore", under="ignore"):
+                    if good and not 1e-200 < (v * v).sum() < 1e200:  # a power of two brings squares back in range
+                        v = np.ldexp(v, -int(np.frexp(np.abs(v).max())[1]))
                 out.append(v.tobytes() if good else None)
                 dims.append(v.size if good else 0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), pa.array(dims, pa.int32())], ["id", "raw", "dim"])
@@ -82,7 +84,7 @@ def near_duplicates(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_id",
 
     Two rows are linked if the cosine of their vectors, in doubles, is at least ``cosine``
     (above 0). Null, empty and zero vectors and those with null or non-finite parts link with
-    nothing, nor do vectors of different lengths. Equal vectors are compared once and count
+    nothing, nor do vectors of different lengths; very large and very small ones are scaled. Equal vectors are compared once and count
     as often as they come. A null id has a null component and is not kept; rows that repeat
     an id share the links of all of them. Other columns are not read. An empty table gives
     no rows.

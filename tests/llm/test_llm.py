@@ -147,7 +147,33 @@ def test_vectors(spark, sf):
         assert len(out) == len(rows)
         assert got == {i: (0, i, True) for i, _ in rows if i is not None} | {int(i): (int(n), int(known.get(i, i)), known.get(i, i) == i) for i, n in zip(ids, near.sum(1))}
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
-    assert entry.op2_embeddings(spark, sf).count() == spark.read.parquet(f"{sf}/embeddings.parquet").count()
+
+
+def test_vectors_of_any_size(spark):
+    rows = [(1, [1e-170, 2e-170]), (2, [1e-170, 2e-170]), (3, [1e160, 2e160]), (4, [1.0, 2.0]), (5, [5e-324, 1e-323]), (6, [-1e300, 1e300]), (7, [0.0, -0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (4, 1) for i in range(1, 6)} | {6: (0, 6), 7: (0, 7)}
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_vectors_whole_table(spark, size):
+    """The query over whole tables, and over one with planted links, against all pairs."""
+    at = f"/root/testdata/{size}"
+    table = spark.read.parquet(f"{at}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    rng = np.random.default_rng(3)
+    near = [(10**6 + i, (np.array(v, float) + rng.normal(size=len(v)) * np.linalg.norm(v) * rng.uniform(0.2, 0.8) / np.sqrt(len(v))).tolist()) for i, v in enumerate(table.embedding[:150]) if v is not None]
+    for rows in (list(zip(table.vec_id.tolist(), table.embedding)), [*zip(table.vec_id.tolist(), table.embedding), *near]):
+        df = entry.op2_embeddings(spark, at) if len(rows) == len(table) else vectors.near_duplicates(spark.createDataFrame([(i, None if v is None else [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>"), 0.9, block=64)
+        good = [(i, np.array(v, float)) for i, v in rows if v is not None and len(v) and np.isfinite(np.array(v, float)).all() and np.any(v)]
+        x = np.stack([v / np.linalg.norm(v) for _, v in good])
+        link = x @ x.T >= 0.9
+        np.fill_diagonal(link, False)
+        a, b = np.nonzero(link)
+        assert len(rows) == len(table) or a.size > 50
+        ids = np.array([i for i, _ in good])
+        known = dict(zip(*graph.forest(ids[a], ids[b])))
+        want = {int(i): (0, int(i)) for i, _ in rows} | {int(i): (int(n), int(known.get(i, i))) for i, n in zip(ids, link.sum(1))}
+        assert {r.vec_id: (r.n_links, r.component_id) for r in df.collect()} == want
 
 
 # --- 3 ---------------------------------------------------------------------------------------
@@ -176,7 +202,7 @@ def suffix_rows(texts):
     return rows
 
 
-@pytest.mark.parametrize("hot", [suffixes.HOT, 1])
+@pytest.mark.parametrize("hot", [suffixes.HOT, 1, 0])
 def test_suffixes(docs, hot):
     rows = corpus()
     want = suffix_rows([(r[1] or "").encode() for r in rows])
@@ -192,6 +218,29 @@ def test_suffixes_whole_tables(spark, sf, none):
     assert suffixes.digests(none).count() == 0
 
 
+def test_suffixes_hang_on_the_sort(spark, docs, monkeypatch):
+    """Nothing is removed that the sort does not find, and a gram in a third of all rows is split."""
+    rng = random.Random(4)
+    shared = prose(rng, 20)[:130]
+    rows = [(i, f"{prose(rng, 20)} {shared} {prose(rng, 20)}" if i % 3 == 0 else prose(rng, 40)) for i in range(150)]
+    rows += [(200, rows[0][1]), (201, rows[3][1][40:] + "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = suffix_rows([t.encode() for _, t in rows])
+    for hot in (suffixes.HOT, 5):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.digests(df, hot).collect()}
+        assert got == dict(zip((i for i, _ in rows), want))
+    real = suffixes._sorted
+    monkeypatch.setattr(suffixes, "_sorted", lambda *a: real(*a).where("false"))
+    assert suffixes.digests(docs).agg(F.sum("n_removed")).first()[0] == 0
+
+
+def test_suffixes_odd_names(spark):
+    text = "ab" * 150
+    df = spark.createDataFrame([(1, text, 1, 2, 3, 4, 5), (2, "short", 1, 2, 3, 4, 5)], "doc_id long, text string, row_key int, Ranges int, range_key int, gram int, `a.b` int")
+    out = suffixes.deduplicate(df)
+    assert out.columns == df.columns and {tuple(r) for r in out.collect()} == {(1, "", 1, 2, 3, 4, 5), (2, "short", 1, 2, 3, 4, 5)}
+
+
 def test_suffix_sort():
     rng = random.Random(5)
     data = bytes(rng.choice(b"ab") for _ in range(600)) + b"ab" * 50
@@ -311,12 +360,14 @@ def tokenizer():
 
 def test_bpe(spark, docs, none, tokenizer, sf):
     rows = corpus()
-    got = sorted(((r.doc_id if r.doc_id is not None else -1), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(docs, entry.tokenizer_path()).collect())
-    want = []
-    for r in rows:
-        ids = tokenizer.encode(r[1] or "", add_special_tokens=False).ids
-        want.append((r[0] if r[0] is not None else -1, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
-    assert got == sorted(want)
+    table = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    for own, out in ((rows, bpe.digests(docs, entry.tokenizer_path())), (table, entry.op6_bpe(spark, sf))):
+        got = sorted(((r.doc_id if r.doc_id is not None else -1), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out.collect())
+        want = []
+        for r in own:
+            ids = tokenizer.encode(r[1] or "", add_special_tokens=False).ids
+            want.append((r[0] if r[0] is not None else -1, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+        assert got == sorted(want)
     assert bpe.digests(none, entry.tokenizer_path()).count() == 0
     back = bpe.decode(bpe.encode(docs.where("doc_id = 7"), entry.tokenizer_path()), entry.tokenizer_path())
     assert {r.text for r in back.collect()} == {rows[7][1]}
@@ -332,8 +383,8 @@ def test_bpe_fuzz(tokenizer):
         assert codec.decode(ids) == tokenizer.decode(want, skip_special_tokens=False)
 
 
-def test_packing(docs, none, tokenizer):
-    rows = packing.pack(docs, entry.tokenizer_path(), 1024, 2).collect()
+def check_pieces(rows, docs, tokenizer):
+    """Pieces are those of the tokenizers library, and lie in sequences without gap or overlap."""
     places: dict[int, list] = {}
     for r in rows:
         places.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -344,13 +395,24 @@ def test_packing(docs, none, tokenizer):
             at += n
         assert at <= 1024
     want = []
-    for r in corpus():
-        ids = tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [2]
+    for i, t in docs:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
         head = len(ids) % 1024 or 1024
         cuts = [0, head, *range(head + 1024, len(ids) + 1, 1024)] if len(ids) > head else [0, len(ids)]
-        want += [(r[0], k, s, e - s, zlib.crc32(np.array(ids[s:e], "<u4").tobytes())) for k, (s, e) in enumerate(zip(cuts, cuts[1:]))]
+        want += [(i, k, s, e - s, zlib.crc32(np.array(ids[s:e], "<u4").tobytes())) for k, (s, e) in enumerate(zip(cuts, cuts[1:]))]
     key = lambda t: (t[0] is None, t[0] or 0, *t[1:])
     assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows), key=key) == sorted(want, key=key)
+    bins: list[int] = []
+    for n in sorted((n for own in places.values() for _, n in own), reverse=True):
+        k = next((k for k, free in enumerate(bins) if free >= n), len(bins))
+        bins[k:] = [bins[k] - n, *bins[k + 1 :]] if k < len(bins) else [1024 - n]
+    assert len(places) <= len(bins)  # no more than first fit, longest first
+
+
+def test_packing(spark, docs, none, tokenizer, sf):
+    check_pieces(packing.pack(docs, entry.tokenizer_path(), 1024, 2).collect(), [r[:2] for r in corpus()], tokenizer)
+    table = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    check_pieces(entry.op7_packing(spark, sf).collect(), table, tokenizer)
     assert packing.pack(none, entry.tokenizer_path()).count() == 0
 
 
@@ -500,6 +562,37 @@ def test_lines_large_buckets(spark):
     assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted(kept_lines(rows))
 
 
+def test_lines_null_id_links_nothing(spark):
+    a = "the quick brown fox jumps over the lazy dog and runs far"
+    b = a.replace("quick", "quack").replace("jumps", "jumbs")
+    c = b.replace("lazy", "lady").replace("runs", "runs!"[:4]).replace("far", "fir")
+    rows = [(1, a), (None, b), (2, c)]
+    assert not lines.within(a, c, 2) and lines.within(a, b, 2) and lines.within(b, c, 2)
+    assert {(r.doc_id, r.text) for r in lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == set(rows)
+
+
+def test_lines_odd_names(spark):
+    names = ["found_in", "Found_Lines", "new_text", "key", "a", "b", "id", "found", "component", "x.y"]
+    df = spark.createDataFrame([(1, "some line of text", *range(10)), (2, "some line of text", *range(10))], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    out = lines.deduplicate(df)
+    assert out.columns == [*df.columns, "n_removed"] and {tuple(r) for r in out.collect()} == {(1, "some line of text", *range(10), 0), (2, "", *range(10), 1)}
+
+
+def test_lines_bucket_of_any_size(spark):
+    """A bucket that holds a third of all rows is given out as it comes: all members, and pairs with one of them."""
+    rng = random.Random(2)
+    sign = -(1 << 63)
+    rows = [(7, i + sign) for i in range(500)] + [(7, i) for i in range(400, 1200)] * 3 + [(k, rng.randrange(9) + rng.choice([0, sign])) for k in range(8, 400) for _ in range(8)] + [(3, i) for i in range(300)] + [(4, 5 + sign), (4, 5)]
+    df = spark.createDataFrame(rows, "key long, id long").repartition(2, "key").sortWithinPartitions("key", "id")
+    got = {most: {(r.key, r.a, r.b) for r in lines._met(df, most).collect()} for most in (20, 10**6)}
+    plain = lambda x: {r for r in x if r[0] != 7 and (r[0] is not None or max(r[1:]) < 9)}
+    assert plain(got[20]) == plain(got[10**6])
+    for x in got.values():
+        assert {a for k, a, _ in x if k == 7} == set(range(1200)) and {a for k, a, b in x if k == 7 and b} == set(range(500))
+        assert {b for k, a, b in x if k is None and a == 0 and b >= 400} == set(range(400, 1200))
+        assert not any(k in (3, 4) for k, _, _ in x)
+
+
 def test_lines_whole_table(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = {r.doc_id: r.kept_sha256 for r in entry.op10_lines(spark, sf).collect()}
@@ -516,7 +609,7 @@ def test_stages(spark, docs, none, sf, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = [(r.doc_id, r.text) for r in at.collect()]
         out = stage(spark, at, str(tmp_path))
-        assert out.columns == [c for c in docs.columns if c != "n_removed"] or name == "toxicity"
+        assert out.columns == docs.columns
         out.write.parquet(str(tmp_path / name))
         at = spark.read.parquet(str(tmp_path / name))
         after = [(r.doc_id, r.text) for r in at.collect()]
@@ -535,5 +628,28 @@ def test_stages(spark, docs, none, sf, tmp_path):
         assert stage(spark, none, str(tmp_path)).count() == 0
 
 
-def test_run(spark, sf):
-    assert corpus_pipeline.run(spark, sf).count() > 0
+def test_stages_odd_names(spark, tmp_path):
+    """Columns with any name, the stages' own helpers' among them, and repeated ids."""
+    spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    names = ["gone", "__gone", "__found", "__doc", "__ranges", "row_key", "range_key", "found_in", "kept", "component_id", "score", "x.y"]
+    rng = random.Random(1)
+    texts = [prose(rng, 60) for _ in range(4)]
+    rows = [(i, t, *range(len(names))) for i, t in [(1, texts[0]), (2, texts[0] + " end"), (3, texts[1]), (3, texts[2]), (None, texts[0]), (5, ""), (6, None)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, df, str(tmp_path)).columns == df.columns
+    left = corpus_pipeline.STAGES[2][1](spark, df, str(tmp_path)).select("doc_id").collect()
+    assert sorted((r.doc_id or 0) for r in left) == [0, 1, 3, 3, 5, 6]
+
+
+def test_run(spark, sf, tokenizer):
+    """The whole run against brute force for every stage but the first, whose field is fitted anew."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    at = [(r.doc_id, r.text) for r in toxicity.reject(docs, toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))).collect()]
+    at = kept_lines(at)
+    part = near_components(at)
+    at = [(i, t) for i, t in at if part[i] == i]
+    raw = [(t or "").encode() for _, t in at]
+    at = [(i, np.frombuffer(b, np.uint8)[~m].tobytes().decode("utf-8", "ignore")) for (i, _), b, m in zip(at, raw, removed(raw))]
+    got = corpus_pipeline.run(spark, sf).collect()
+    check_pieces(got, at, tokenizer)
