@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .links import small
+
 #: Size of the vocabulary and the smoothing of word counts that the published models use.
 VOCABULARY, SMOOTHING = 17_964_411, 0.1
 
@@ -24,12 +26,15 @@ def context_scores(candidates: DataFrame, model: DataFrame, smoothing: float = S
     """Adds ``context_prob``, the logarithm of the context's probability under the candidate's model.
 
     ``candidates`` has id, candidate and context array<string>. Words that the model lacks count
-    as zero, repeated ones repeatedly; candidates without a model go. Contexts are aggregated to
-    word counts before they meet the model.
+    as zero, repeated ones repeatedly; candidates without a model go. Words that the model lacks
+    all add the same, so they need no rows: each pair starts from that for all its words, and
+    words the model has add the difference, summed up before the shuffle. The model is measured
+    and sent to all executors if it is small (``links.SMALL``).
     """
-    sizes = model.select(F.col("entity").alias("candidate"), "words_in_model").distinct()
-    known = candidates.join(sizes, "candidate")
-    words = known.select("id", "candidate", "words_in_model", F.explode("context").alias("word")).groupBy("id", "candidate", "words_in_model", "word").agg(F.count("*").alias("times"))
-    own = model.select(F.col("entity").alias("candidate"), "word", "cnt")
-    p = F.log((F.coalesce("cnt", F.lit(0)) + F.lit(smoothing)) / (F.col("words_in_model") + F.lit(smoothing * vocabulary)))
-    return words.join(own, ["candidate", "word"], "left").groupBy("id", "candidate").agg(F.sum(p * F.col("times")).alias("context_prob"))
+    sizes = small(model.select(F.col("entity").alias("candidate"), "words_in_model").distinct())
+    own = small(model.select(F.col("entity").alias("candidate"), "word", "cnt"), "word")
+    absent = F.log(F.lit(smoothing) / (F.col("words_in_model") + F.lit(smoothing * vocabulary)))
+    base = candidates.join(sizes, "candidate").where(F.size("context") > 0).select("id", "candidate", (F.size("context") * absent).alias("p"))
+    words = candidates.select("id", "candidate", F.explode("context").alias("word"))
+    more = words.join(own, ["candidate", "word"]).select("id", "candidate", F.log((F.col("cnt") + F.lit(smoothing)) / F.lit(smoothing)).alias("p"))
+    return base.unionByName(more).groupBy("id", "candidate").agg(F.sum("p").alias("context_prob"))

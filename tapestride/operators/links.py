@@ -66,3 +66,14 @@ def status(pages: DataFrame) -> DataFrame:
 
 def first_rank(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__k = 1").drop("__k")
+
+
+#: Bytes of a table that may be sent to every executor.
+SMALL = 32 << 20
+
+
+def small(df: DataFrame, *texts: str, most: int = SMALL) -> DataFrame:
+    """``df``, to be broadcast if it was measured to have ``most`` bytes at most, 64 a row and those of its text columns."""
+    sizes = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in texts]
+    got = df.agg(F.count("*"), *sizes).first()
+    return F.broadcast(df) if 64 * got[0] + sum(got[1:]) <= most else df

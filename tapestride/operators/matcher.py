@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .links import first_rank
+from .links import first_rank, small
 
 
 def dictionary(entries: DataFrame) -> DataFrame:
@@ -22,9 +22,12 @@ def hits(texts: DataFrame, entries: DataFrame, longest_entry: int, every: bool =
     """(doc_id, surface, prob, start, length) of matches in ``tokens`` (array<string>).
 
     All overlapping matches from every start; ``every`` keeps each occurrence, else a document
-    has a surface once, where it first occurs; ``longest`` keeps the longest from a start.
+    has a surface once, where it first occurs; ``longest`` keeps the longest from a start. The
+    dictionary is measured, so it should be a written table; up to ``links.SMALL`` bytes of it are
+    sent to all executors, and tokens are shuffled only beyond that.
     """
-    heads = entries.select(F.split("surface", " ")[0].alias("head")).distinct()
+    heads = small(entries.select(F.split("surface", " ")[0].alias("head")).distinct(), "head")
+    entries = small(entries, "surface")
     # A start carries the few tokens an entry may have, never the whole text.
     runs = F.transform("tokens", lambda w, i: F.struct(i.cast("long").alias("start"), w.alias("head"), F.slice("tokens", i + 1, F.lit(longest_entry)).alias("run")))
     starts = texts.select("doc_id", F.inline(runs)).where("head <> ''").join(heads, "head", "left_semi")
@@ -34,7 +37,12 @@ def hits(texts: DataFrame, entries: DataFrame, longest_entry: int, every: bool =
     found = spans.join(entries, "surface").select("doc_id", "surface", "prob", "start", "length")
     if longest:
         found = first_rank(found, ["doc_id", "start"], [F.desc("length")])
-    return found if every else first_rank(found, ["doc_id", "surface"], [F.asc("start"), F.asc("length")])
+    if every:
+        return found
+    # Start and length as one number, so that the first occurrence is a partially aggregated minimum.
+    place = F.min(F.col("start") * (1 << 16) + F.col("length"))
+    first = found.groupBy("doc_id", "surface").agg(F.first("prob").alias("prob"), place.alias("place"))
+    return first.select("doc_id", "surface", "prob", F.shiftright("place", 16).alias("start"), F.col("place").bitwiseAND(F.lit((1 << 16) - 1)).alias("length"))
 
 
 def contains(probes: DataFrame, entries: DataFrame) -> DataFrame:

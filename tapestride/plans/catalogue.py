@@ -270,11 +270,17 @@ def _entry_probs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _dictionary(spark: SparkSession, sf: str) -> DataFrame:
-    return matcher.dictionary(_entry_probs(spark, sf).where("surface like '% %'"))
+    return _cut(matcher.dictionary(_entry_probs(spark, sf).where("surface like '% %'")))
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan with fewer splits than there are cores (a file of one row group, say), dealt out; else ``df``."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", tx.tokens(F.col("text")).alias("tokens"))
+    return _spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", tx.tokens(F.col("text")).alias("tokens"))
 
 
 def _hits(spark: SparkSession, sf: str, **how) -> DataFrame:
@@ -351,19 +357,28 @@ def _placed(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(spark, sf).join(_texts(spark, sf), "doc_id").withColumn("id", id_).withColumn("context", tx.context(F.col("tokens"), F.col("start")))
 
 
+def _contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``_placed`` without tokens: a document's hits come to its tokens as one row, so that tokens are not copied for each hit."""
+    per_doc = _hits(spark, sf).groupBy("doc_id").agg(F.collect_list(F.struct("surface", "prob", "start", "length")).alias("found"))
+    rows = per_doc.join(_texts(spark, sf), "doc_id")
+    at = F.transform("found", lambda h: F.struct(h.surface.alias("surface"), h.prob.alias("prob"), h.start.alias("start"), h.length.alias("length"), tx.context(F.col("tokens"), h.start).alias("context")))
+    rows = rows.select("doc_id", F.inline(at))
+    return rows.withColumn("id", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("start").cast("string"), F.col("length").cast("string")))
+
+
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    mentions = _placed(spark, sf).where("context is not null").select("id", "doc_id", F.col("surface").alias("surface_repr"), F.col("prob").alias("surface_link_prob"), "start", "length", "context")
+    mentions = _contexts(spark, sf).where("context is not null").select("id", "doc_id", F.col("surface").alias("surface_repr"), F.col("prob").alias("surface_link_prob"), "start", "length", "context")
     probs = _entry_probs(spark, sf).withColumnRenamed("item_id", "destination")
     return features.candidates(mentions, probs)
 
 
 def _model(spark: SparkSession, sf: str) -> DataFrame:
     words = table(spark, sf, "benchmark").select(F.col("item_id").alias("entity"), F.explode(tx.tokens(F.col("text"))).alias("word"))
-    return langmodel.language_model(words)
+    return _cut(langmodel.language_model(words))
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
-    cand = _candidates(spark, sf)
+    cand = _cut(_candidates(spark, sf))  # read three times
     scored = langmodel.context_scores(cand.select("id", "candidate", "context"), _model(spark, sf))
     rows = rounded(cand.drop("context").join(scored, ["id", "candidate"]), "surface_prob", "context_prob", "surface_link_prob", digits=6)
     rows = features.second_order(features.second_order(rows, "surface_prob", "prom"), "context_prob", "context")
@@ -372,7 +387,7 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_DICT} SELECT doc_id, surface, start::BIGINT AS start, {_CTX} AS context FROM firsts JOIN toks USING (doc_id)")
 def context_windows(spark, sf):
-    return _placed(spark, sf).select("doc_id", "surface", "start", F.array_join("context", " ").alias("context"))
+    return _contexts(spark, sf).select("doc_id", "surface", "start", F.array_join("context", " ").alias("context"))
 
 
 @query(f"WITH {_FEATURES} SELECT id, surface, candidate, round(surface_prob, 9) AS surface_prob FROM cand")
@@ -382,7 +397,7 @@ def candidates(spark, sf):
 
 @query(f"WITH {_FEATURES} SELECT id, candidate, round(context_prob, 6) AS context_prob FROM scored")
 def context_scores(spark, sf):
-    return rounded(langmodel.context_scores(_candidates(spark, sf).select("id", "candidate", "context"), _model(spark, sf)), "context_prob", digits=6)
+    return rounded(langmodel.context_scores(_cut(_candidates(spark, sf).select("id", "candidate", "context")), _model(spark, sf)), "context_prob", digits=6)
 
 
 _ORDERED = ["prom_rank", "prom_delta_top", "prom_delta_succ", "context_rank", "context_delta_top", "context_delta_succ"]
