@@ -84,11 +84,17 @@ class _Lengths:
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
     """Patterns (lengths side by side) and how many sequences have each; all pieces are used.
 
-    Each pattern uses up at least one length or all but one of it, so there are a few
-    thousand patterns at most for a capacity of 1024, whatever the counts.
+    Where exact combinations use up the short lengths that others lack in the end, plain best fit
+    needs fewer sequences; the smaller of both plans is taken. Each pattern uses up at least one
+    length or all but one of it, so there are a few thousand patterns at most for a capacity of
+    1024, whatever the counts.
     """
+    return min((_plan(counts, capacity, exact) for exact in (True, False)), key=lambda p: sum(m for _, m in p))
+
+
+def _plan(counts: dict[int, int], capacity: int, exact: bool) -> list[tuple[list[int], int]]:
     left, out = _Lengths(counts, capacity), []
-    for length in range(capacity, 0, -1):
+    for length in range(capacity, 0, -1) if exact else ():
         while left.n[length]:
             rest = left.exact(capacity - length, [length]) if length < capacity else []
             if rest is None:
@@ -98,7 +104,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
         while left.n[length]:
             own = [length]
             while (gap := capacity - sum(own)) > 0:
-                end = left.exact(gap, own)
+                end = left.exact(gap, own) if exact else None
                 if end:
                     own += end
                     break
