@@ -28,7 +28,7 @@ from .common import lean, slices
 SHORT = 48
 #: Parts of texts kept with their ids in each Python worker. Beyond it, and when a task ends,
 #: only the first are kept: what is met early is what is met often.
-CACHE, KEPT = 700_000, 400_000
+CACHE, KEPT = 500_000, 300_000
 #: The rank of a pair that is no merge; with a place of six bits beside it, it fits 32 bits.
 _NONE = np.uint32(1 << 25)
 _LOADED: dict[str, "Codec"] = {}
@@ -278,7 +278,7 @@ def codec(path: str) -> Codec:
 
 def encoded_batches(batches: Iterator[pa.RecordBatch], path: str, text: str) -> Iterator[tuple[pa.RecordBatch, list[str], list[bytes]]]:
     c = codec(path)
-    for batch in slices(batches, text):
+    for batch in slices(batches, text, 2 << 20):
         texts = [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
         yield batch, texts, c.encode(texts)
     c.trim()

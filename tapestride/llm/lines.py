@@ -347,11 +347,8 @@ def _decisions(docs: DataFrame, held: Scratch, edits: int, per_edit: int) -> Dat
     return hits.groupBy("doc_id").agg(F.collect_list(F.struct("id", "other", "component", "own")).alias("found"))
 
 
-def dedup_text(text: str | None, found) -> tuple[str | None, int]:
-    """The text without its repeated lines, and how many those are."""
-    if text is None or found is None or not len(found):
-        return text, 0
-    known = {(r["id"], r["other"]): (r["component"], r["own"]) for r in found}
+def dedup_text(text: str, known: dict[tuple[int, int], tuple[int, bool]]) -> tuple[str, int]:
+    """The text without its repeated lines, and how many those are; ``known`` has component and own by a line's ids."""
     own = text.split("\n")
     at = [i for i, x in enumerate(own) if x and not x.isspace()]
     h, g = ids([own[i] for i in at])
@@ -388,8 +385,11 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -
     def clean(text: pa.Array, found: pa.Array) -> pa.Array:
         rest, gone = [], []
         for part in slices(iter([pa.RecordBatch.from_arrays([text, found], ["text", "found"])]), "text", SLICE):
-            for t, f in zip(part.column(0), part.column(1)):
-                t, n = dedup_text(t.as_py(), f.as_py())
+            h, g, component, own = (c.to_pylist() for c in part.column(1).flatten().flatten())
+            at = 0
+            for t, k in zip(part.column(0).to_pylist(), pa.compute.list_value_length(part.column(1)).to_pylist()):
+                t, n = (t, 0) if t is None or not k else dedup_text(t, dict(zip(zip(h[at : at + k], g[at : at + k]), zip(component[at : at + k], own[at : at + k]))))
+                at += k or 0
                 rest.append(t)
                 gone.append(n)
         return pa.StructArray.from_arrays([pa.array(rest, pa.string()), pa.array(gone, pa.int64())], names=["text", "n_removed"])

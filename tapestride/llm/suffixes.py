@@ -279,13 +279,20 @@ def _ranges(docs: DataFrame, held: Scratch, hot: int) -> DataFrame:
     return marked.select("gram", "whole", "row_key", "a").join(flags, ["gram", "whole"]).select("row_key", (F.col("a") + F.col("s")).alias("a"), (F.col("a") + F.col("e")).alias("b"))
 
 
-def cut(data: bytes, ranges) -> tuple[bytes, int, int]:
+def _lists(column: pa.Array) -> list[list[tuple[int, int]]]:
+    """The (a, b) of each row of an array of structs; none for null."""
+    a, b = (c.to_pylist() for c in column.flatten().flatten())
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy()).tolist()
+    return [list(zip(a[s:e], b[s:e])) for s, e in zip([0, *ends], ends)]
+
+
+def cut(data: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     """The bytes without those covered from the ranges of starts; removed bytes and maximal removed runs."""
-    if ranges is None or not len(ranges):
+    if not ranges:
         return data, 0, 0
     kept, at, gone, spans = [], 0, 0, 0
     end = -1
-    for a, b in sorted((r["a"], r["b"] + LENGTH) for r in ranges):
+    for a, b in sorted((a, b + LENGTH) for a, b in ranges):
         if a > end:
             kept.append(data[max(at, 0) : a])
             spans += 1
@@ -325,8 +332,8 @@ def deduplicate(docs: DataFrame, hot: int = HOT) -> DataFrame:
     def rest(text: pa.Array, ranges: pa.Array) -> pa.Array:
         out = []
         for part in slices(iter([pa.RecordBatch.from_arrays([text, ranges], ["text", "ranges"])]), "text", SLICE):
-            for t, r in zip(part.column(0), part.column(1)):
-                out.append(t.as_py() if not r.is_valid or not t.is_valid else cut(t.as_py().encode(), r.as_py())[0].decode("utf-8", "ignore"))
+            for t, r in zip(part.column(0).to_pylist(), _lists(part.column(1))):
+                out.append(t if t is None or not r else cut(t.encode(), r)[0].decode("utf-8", "ignore"))
         return pa.array(out, pa.string())
 
     return joined.select(*[F.when(F.col(name).isNull(), F.col("text")).otherwise(rest("text", name)).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
@@ -342,7 +349,7 @@ def digests(docs: DataFrame, hot: int = HOT) -> DataFrame:
     def run(batches):
         for batch in slices(batches, "text", SLICE):
             rows = []
-            for x, ranges in zip(encoded(batch.column(1)), batch.column(2).to_pylist()):
+            for x, ranges in zip(encoded(batch.column(1)), _lists(batch.column(2))):
                 rest, gone, spans = cut(x, ranges)
                 rows.append((len(x), gone, spans, hashlib.sha256(rest).hexdigest()))
             columns = list(zip(*rows)) or [()] * 4

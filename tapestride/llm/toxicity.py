@@ -9,12 +9,14 @@ offending spans and, through a logistic curve, a score for the document.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from .common import lean, slices
 
@@ -22,7 +24,7 @@ from .common import lean, slices
 SAMPLE = (2500, 1000)
 BUCKETS = 1 << 18
 #: Words kept with their potentials within a task.
-CACHE = 300_000
+CACHE = 200_000
 _EDGE = ".,;:!?\"'()[]{}<>«»„“”‘’¿¡…-–—*_/\\"
 
 
@@ -154,16 +156,15 @@ def tag_words(vocab: list[str], docs: list[np.ndarray], labels: list[int], ratio
     documents is ``ratio`` times that of clean ones (half a document is added to the latter)
     and if so uneven a split is expected, by Chernoff's bound, of at most ``chance`` of all cues.
     """
-    cue_of: dict[str, int] = {}
-    flat, owner = [], []
+    hashed, owner = array("Q"), array("i")  # a cue is its 64-bit hash; a dictionary of strings would be the driver's peak
     for i, t in enumerate(vocab):
         w = t.strip(_EDGE).lower()
         for c in (w, *[f"{w[:n]}\0" for n in (4, 5, 6) if len(w) > n]) if w else ():
-            flat.append(cue_of.setdefault(c, len(cue_of)))
+            hashed.append(xxh3_64_intdigest(c.encode("utf-8", "replace")))
             owner.append(i)
-    flat, owner = np.array(flat, np.int32), np.array(owner, np.int32)
-    n_cues = len(cue_of)
-    del cue_of
+    cues, flat = np.unique(np.frombuffer(hashed, np.uint64), return_inverse=True)
+    flat, owner, n_cues = flat.astype(np.int32), np.frombuffer(owner, np.int32), cues.size
+    del cues, hashed
     starts = np.searchsorted(owner, np.arange(len(vocab) + 1))
     seen = np.zeros((2, n_cues), np.int64)
     group, label = copies(docs, labels), np.array(labels)
@@ -197,9 +198,13 @@ def fit(texts: list[str], labels: list[int], rounds: int = 60, rate: float = 0.5
     vocab = list(index)
     del index
     words = tag_words(vocab, ids, labels)
-    own = [np.array(features(t), np.int32) for t in vocab]
-    flat, owner = np.concatenate(own or [np.zeros(0, np.int32)]), np.repeat(np.arange(len(own), dtype=np.int32), [len(f) for f in own])
-    del own
+    listed, count = array("i"), array("i")
+    for t in vocab:
+        own = features(t)
+        listed.extend(own)
+        count.append(len(own))
+    flat, owner = np.array(listed, np.int32), np.repeat(np.arange(len(count), dtype=np.int32), count)
+    del listed, count
     where = np.concatenate(ids)
     y = np.concatenate([words[i] & bool(label) for i, label in zip(ids, labels)]).astype(np.float64)
     ends = np.cumsum([len(i) for i in ids])
@@ -302,7 +307,7 @@ def reject(df: DataFrame, field: Field, threshold: float = 0.7) -> DataFrame:
         own = shared.value
         for texts in batches:
             out = [np.zeros(0)]
-            for part in slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text", 8 << 20):
+            for part in slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text", 4 << 20):
                 out.append(own.score(own.marginals([own.emissions((t.as_py() or "").split()) for t in part.column(0)])))
             yield pa.array(np.concatenate(out))
         own.known.clear()
