@@ -72,8 +72,13 @@ def first_rank(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 SMALL = 32 << 20
 
 
-def small(df: DataFrame, *texts: str, most: int = SMALL) -> DataFrame:
-    """``df``, to be broadcast if it was measured to have ``most`` bytes at most, 64 a row and those of its text columns."""
+def is_small(df: DataFrame, *texts: str, most: int = SMALL) -> bool:
+    """Whether ``df`` was measured to have ``most`` bytes at most, 64 a row and those of its text columns."""
     sizes = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in texts]
     got = df.agg(F.count("*"), *sizes).first()
-    return F.broadcast(df) if 64 * got[0] + sum(got[1:]) <= most else df
+    return 64 * got[0] + sum(got[1:]) <= most
+
+
+def small(df: DataFrame, *texts: str, most: int = SMALL) -> DataFrame:
+    """``df``, to be broadcast if it ``is_small``."""
+    return F.broadcast(df) if is_small(df, *texts, most=most) else df
